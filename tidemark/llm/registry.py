@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, language_id, mixing, token_counts
+from tidemark.llm import chat_format, language_id, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
         "op6_language_id": language_id.op6_language_id,
