@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, language_id, mixing, token_counts, toxicity
+from tidemark.llm import chat_format, decontamination, language_id, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
         "op6_language_id": language_id.op6_language_id,
+        "op7_decontamination": decontamination.op7_decontamination,
     }
 
 
