@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, language_id, mixing, token_counts, toxicity
+from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_html_text": html_text.op8_html_text,
     }
 
 
