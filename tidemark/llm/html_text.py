@@ -10,7 +10,7 @@ and roles. A node that holds text gets an importance from entropy:
 A text node's importance is 0.9 of the first and 0.1 of the second (the weighting of one level of the published formula), a
 host of few pages being blended with the tree of all hosts. What markup itself says is a prior: nav, header, footer,
 aside, form, script, style and the like, and classes, ids and roles for menus, adverts, notices, sidebars or comments,
-have importance 0. Branches of low importance are cut, and so are single texts that nearly every page of the host has.
+have importance 0 where entropy alone would keep them. Branches of low importance are cut, and so are single texts that nearly every page of the host has.
 
 Where a page marks its article or main part, only that part is extracted, and plain content tags in it (p, h1, li ...,
 without classes) are content whatever their entropy: copies of an article on one host do not make it a notice.
@@ -215,8 +215,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = host_of(url)
             blocks, layouts = parse(page)
-            own = {(host, b[0], 1, hash_of(b[4])) for b in blocks if not b[1]}
-            own |= {(host, b[0], 0, 0) for b in blocks if not b[1]}
+            own = {(host, b[0], 1, hash_of(b[4])) for b in blocks}
+            own |= {(host, b[0], 0, 0) for b in blocks}
             own |= {(host, node, 2, layout) for node, layout in layouts} | {(host, node, 0, 0) for node, _ in layouts}
             seen.update(own)
         rows = list(seen.items())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, token_counts, toxicity
+from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, token_counts, topk_search, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": topk_search.op1_topk_search,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_chat_format": chat_format.op4_chat_format,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_topk_search": topk_search.OP1_SQL,
         "op4_chat_format": chat_format.OP4_SQL,
         "op5_mixing": mixing.OP5_SQL,
     }
