@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, token_counts, topk_search, toxicity
+from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, ngram_join, token_counts, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_html_text": html_text.op8_html_text,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict:
         "op1_topk_search": topk_search.OP1_SQL,
         "op4_chat_format": chat_format.OP4_SQL,
         "op5_mixing": mixing.OP5_SQL,
+        "op9_ngram_join": ngram_join.OP9_SQL,
     }
