@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, ngram_join, token_counts, topk_search, toxicity
+from tidemark.llm import chat_format, decontamination, html_text, language_id, mixing, ngram_join, suffix_dedup, token_counts, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_html_text": html_text.op8_html_text,
         "op9_ngram_join": ngram_join.op9_ngram_join,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
