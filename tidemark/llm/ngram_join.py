@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import parts, table, written
 from tidemark.llm.components import components
@@ -200,6 +201,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("c").alias("class"))
 
 
+def _with_class(docs: DataFrame, text: str, k: int) -> DataFrame:
+    at = docs.columns.index(text)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, k) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.int64())], names=[*docs.columns, "_class"])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("_class", LongType())]))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one of least id; all columns stay.
+
+    Rows without an id or without words are in no group and stay; of rows with one id, those with equal sets are one document.
+    """
+    found = written(near_duplicates(docs, key, text, k, percent, most_broadcast), "components")
+    gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    kept = docs.join(small(gone), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    again = written(found.where(F.col(key).isNotNull() & F.col("class").isNotNull()).groupBy(key, "class").count().where("count > 1").select(F.col(key).alias("_again")).distinct(), "again")
+    if not again.take(1):
+        return kept
+    match = F.col(key).cast("long") == F.col("_again")
+    repeated = _with_class(kept.join(small(again), match, "left_semi"), text, k)
+    alike = repeated.where(F.col("_class").isNotNull()).dropDuplicates([key, "_class"])
+    return kept.join(small(again), match, "left_anti").unionByName(alike.unionByName(repeated.where(F.col("_class").isNull())).drop("_class"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 

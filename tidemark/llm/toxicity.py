@@ -275,6 +275,19 @@ def toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     return scored.select(F.col("k").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """docs without the rows that toxicity() would call toxic; all columns stay."""
+    at = docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(model["lexicon"], model["soft"])
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(score(batch.column(at).to_pylist(), model, tokens) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def learnt(spark: SparkSession, sf_dir: str) -> dict:
     """The model of the query and of the pipeline: from the labels of rows whose crc32 leaves a remainder by 5."""
     labels = table(spark, sf_dir, "labels").where(F.pmod(crc_of_id(), F.lit(5)) != 0).select("doc_id", "toxic")
