@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
+_PIECE = (1 << 18) - 2
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         _powers[:] = [np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size, b, dtype=np.uint64))), dtype=np.uint64) for b in (U(_BASE), U(pow(_BASE, -1, 1 << 64)))]
     return _powers[0], _powers[1]
 

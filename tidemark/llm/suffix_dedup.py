@@ -12,8 +12,8 @@ place (document, start) comes to exactly one shard.
 3. A partition makes shards of its distinct stretches of `shard_bytes` at most. A shard's suffix array to depth `length`
    comes by Larsson-Sadakane refinement in numpy: ranks by 8 bytes, then by doubling, only groups not yet apart being sorted.
    Common prefixes of neighbours follow Kasai: where both neighbours' predecessors are neighbours too, the prefix is one
-   shorter; other places are compared. Neighbours with `length` bytes in common are one string. Strings of different
-   shards of a partition meet by binary search in the sorted lists.
+   shorter; other places are compared. Neighbours with `length` bytes in common are one string. Shards take whole anchors;
+   where one anchor needs several shards, their strings meet by binary search in the sorted lists.
 4. Covered ranges go back to their document, which is cut.
 
 The text is shuffled once (both joins read the same exchange). A passage that a third of all documents share is sent once a
@@ -38,8 +38,8 @@ from tidemark.llm.common import parts, table
 from tidemark.llm.shingles import U, _tables, mix
 
 _LOW = U((1 << 20) - 1)
-_CHUNK = (1 << 20) - 4096
-_AT_ONCE = 4000
+_CHUNK = (1 << 18) - 4096
+_AT_ONCE = 2000
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,17 +126,17 @@ def _send_stretches(length: int, gram: int, buckets: int):
         for batch in batches:
             for start in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(start, _AT_ONCE)
-                found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+                found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
                 for row, text, wanted in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), part.column("wanted"), strict=True):
                     data = _bytes(text)
                     raw = data.tobytes()
                     h, first, last = anchors(data, length, gram)
                     mine = np.isin(_short(h), wanted.values.to_numpy())
-                    for b, s, e in zip((h[mine] % U(buckets)).tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
-                        found.setdefault((b, raw[s : e + length]), []).append((row, s))
+                    for b, a, s, e in zip((h[mine] % U(buckets)).tolist(), h[mine].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
+                        found.setdefault((b, a, raw[s : e + length]), []).append((row, s))
                 out: dict[int, list] = {}
-                for (b, stretch), places in found.items():
-                    out.setdefault(b, []).append((stretch, np.array(places, dtype=np.int64).tobytes()))
+                for (b, a, stretch), places in found.items():
+                    out.setdefault(b, []).append((a, stretch, np.array(places, dtype=np.int64).tobytes()))
                 names = list(out)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([pickle.dumps(out[b], protocol=5) for b in names], pa.binary())], names=["bucket", "packed"])
 
@@ -159,7 +159,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     in place; positions alone in their group are not touched again.
     """
     words = _words(text)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     sorted_words = words[order]
     n = len(order)
     starts = np.concatenate(([True], sorted_words[1:] != sorted_words[:-1]))
@@ -172,7 +172,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(active):
         behind = np.minimum(active + h, n - 1)
         key = (rank[active].astype(np.uint64) << U(32)) | rank[behind].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         active, key = active[by], key[by]
         group = key >> U(32)
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
@@ -232,20 +232,19 @@ class Shard:
         while depth * 2 <= length:
             depth *= 2
         rank = suffix_ranks(self.text[: int(sizes.sum()) + length + 8], depth)
-        order = np.lexsort((rank[starts + length - depth], rank[starts]))
+        order = np.argsort((rank[starts].astype(np.uint64) << U(32)) | rank[starts + length - depth].astype(np.uint64), kind="stable")
         shared = common_prefixes(self.text, starts[order], length)
         fresh = shared < length
         self.string = np.empty(len(order), dtype=np.int64)
         self.string[order] = np.cumsum(fresh) - 1
         self.first = starts[order][fresh]
+        self.words = None
 
     def key(self, which: np.ndarray, step: int) -> np.ndarray:
         """Bytes 8 * step and on of strings as numbers; the last number overlaps the one before."""
-        at = self.first[which] + min(8 * step, self.length - 8)
-        out = np.zeros(len(which), dtype=np.uint64)
-        for i in range(8):
-            out = (out << U(8)) | self.text[at + i]
-        return out
+        if self.words is None:
+            self.words = _words(self.text)
+        return self.words[self.first[which] + min(8 * step, self.length - 8)]
 
     def find(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
         """(own string, other's string) of equal strings, by binary search for each of the other's strings."""
@@ -273,38 +272,53 @@ def _compare(a: Shard, i: np.ndarray, b: Shard, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(stretches: list[bytes], places: list[int], length: int, shard_bytes: int) -> Iterator[tuple[int, int, int]]:
-    """(stretch, from, to): ranges under strings that start at two places at least; places: how many places each stretch has."""
-    shards, held, size, begun = [], [], 0, 0
-    for n, s in enumerate(stretches):
-        held.append(s)
-        size += len(s)
-        if size >= shard_bytes or n + 1 == len(stretches):
-            shards.append((begun, Shard(held, length)))
-            held, size, begun = [], 0, n + 1
+def repeated(stretches: list[tuple[int, bytes]], places: list[int], length: int, shard_bytes: int) -> Iterator[tuple[int, int, int]]:
+    """(stretch, from, to): ranges under strings that start at two places at least.
+
+    stretches: (anchor, bytes), distinct and in order of anchors; places: how many places each has. Shards take whole anchors as
+    far as they fit; only shards that share an anchor (one with more bytes than a shard) need to meet.
+    """
     many = np.array(places, dtype=np.int64)
-    totals = [np.bincount(s.string, many[begun + s.stretch], len(s.first)).astype(np.int64) for begun, s in shards]
-    twice = [t > 1 for t in totals]
-    for i in range(len(shards)):
-        for j in range(i):
-            mine, other = shards[i][1].find(shards[j][1])
-            twice[i][mine] = True
-            twice[j][other] = True
-    for (begun, s), again in zip(shards, twice, strict=True):
-        on = again[s.string]
-        first = on & np.concatenate(([True], ~on[:-1] | (s.stretch[1:] != s.stretch[:-1])))
-        last = on & np.concatenate((~on[1:] | (s.stretch[1:] != s.stretch[:-1]), [True]))
-        for n, a, b in zip((begun + s.stretch[first]).tolist(), s.offset[first].tolist(), s.offset[last].tolist(), strict=True):
-            yield n, a, b + length
+    open_: list[tuple[int, Shard, np.ndarray, int]] = []  # first stretch, shard, places of its strings, last anchor
+
+    def done() -> Iterator[tuple[int, int, int]]:
+        twice = [total > 1 for _, _, total, _ in open_]
+        for i in range(len(open_)):
+            for j in range(i):
+                mine, other = open_[i][1].find(open_[j][1])
+                twice[i][mine] = True
+                twice[j][other] = True
+        for (begun, s, _, _), again in zip(open_, twice, strict=True):
+            on = again[s.string]
+            edge = np.concatenate(([True], s.stretch[1:] != s.stretch[:-1], [True]))
+            first = on & (edge[:-1] | np.concatenate(([True], ~on[:-1])))
+            last = on & (edge[1:] | np.concatenate((~on[1:], [True])))
+            yield from zip((begun + s.stretch[first]).tolist(), s.offset[first].tolist(), (s.offset[last] + length).tolist(), strict=True)
+        open_.clear()
+
+    begun, size = 0, 0
+    for n, (anchor, stretch) in enumerate(stretches):
+        if size and (size + len(stretch) > shard_bytes and size > shard_bytes // 2 and (anchor != stretches[n - 1][0] or size + len(stretch) > 2 * shard_bytes)):
+            if open_ and open_[-1][3] != stretches[begun][0]:
+                yield from done()
+            s = Shard([x for _, x in stretches[begun:n]], length)
+            open_.append((begun, s, np.bincount(s.string, many[begun + s.stretch], len(s.first)), stretches[n - 1][0]))
+            begun, size = n, 0
+        size += len(stretch)
+    if open_ and open_[-1][3] != stretches[begun][0]:
+        yield from done()
+    s = Shard([x for _, x in stretches[begun:]], length)
+    open_.append((begun, s, np.bincount(s.string, many[begun + s.stretch], len(s.first)), stretches[-1][0]))
+    yield from done()
 
 
 def _shards(length: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[bytes]] = {}
+        held: dict[tuple[int, bytes], list[bytes]] = {}
         for batch in batches:
             for packed in batch.column(1).to_pylist():
-                for stretch, places in pickle.loads(packed):
-                    held.setdefault(stretch, []).append(places)
+                for anchor, stretch, places in pickle.loads(packed):
+                    held.setdefault((anchor, stretch), []).append(places)
         if not held:
             return
         stretches = sorted(held)
@@ -369,7 +383,7 @@ def _covered(docs: DataFrame, text: str, key: str, others: list[str], length: in
     return rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").drop("row")
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 22) -> DataFrame:
+def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +400,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return out.withColumnRenamed("k", key)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 22) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
     """docs with covered bytes cut out of their texts (a character that is cut in part goes whole); all columns stay."""
     names = docs.columns
     others = [F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != text]
