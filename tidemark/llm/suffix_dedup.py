@@ -312,7 +312,7 @@ def repeated(stretches: list[tuple[int, bytes]], places: list[int], length: int,
     yield from done()
 
 
-def _shards(length: int, shard_bytes: int):
+def _shards(length: int, shard_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list[bytes]] = {}
         for batch in batches:
@@ -324,48 +324,59 @@ def _shards(length: int, shard_bytes: int):
         stretches = sorted(held)
         places = [np.frombuffer(b"".join(held[s]), dtype=np.int64).reshape(-1, 2) for s in stretches]
         held.clear()
-        rows, froms, tos = [], [], []
+        found = []
         for n, a, b in repeated(stretches, [len(p) for p in places], length, shard_bytes):
-            rows.append(places[n][:, 0])
-            froms.append(places[n][:, 1] + a)
-            tos.append(places[n][:, 1] + b)
-        if not rows:
+            found.append(np.column_stack((places[n][:, 0], places[n][:, 1] + a, places[n][:, 1] + b)))
+        if not found:
             return
-        row, start, end = np.concatenate(rows), np.concatenate(froms), np.concatenate(tos)
-        order = np.lexsort((start, row))
-        row, start, end = row[order], start[order], end[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        last = np.append(first[1:], len(row))
-        names, spans = row[first], []
-        for f, t in zip(first.tolist(), last.tolist(), strict=True):
-            spans.append(np.stack((start[f:t], end[f:t]), axis=1).tobytes())
-        for f in range(0, len(names), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[f : f + 20_000], pa.int64()), pa.array(spans[f : f + 20_000], pa.binary())], names=["row", "spans"])
+        found = merged(np.concatenate(found))
+        home = (found[:, 0].astype(np.uint64) >> U(20)) % U(buckets)
+        order = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[order], np.arange(buckets + 1))
+        names = np.flatnonzero(np.diff(cut)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([found[order[cut[b] : cut[b + 1]]].tobytes() for b in names], pa.binary())], names=["bucket", "packed"])
 
     return run
 
 
-def merged(spans: np.ndarray) -> np.ndarray:
-    """Ranges (from, to) as maximal ranges in order; ranges that touch are one."""
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    reach = np.maximum.accumulate(spans[:, 1])
-    fresh = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
-    first = np.flatnonzero(fresh)
-    return np.stack((spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]), axis=1)
-
-
-def keep(raw: bytes, parts_of_spans: list[bytes] | None) -> tuple[bytes, int, int]:
-    """What is left of raw, bytes removed, and runs removed."""
-    if not parts_of_spans:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, spans) with one row for each document row that loses anything."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(bucket, []).append(packed)
+    for bucket in list(held):
+        found = merged(np.frombuffer(b"".join(held.pop(bucket)), dtype=np.int64).reshape(-1, 3))
+        first = np.flatnonzero(np.concatenate(([True], found[1:, 0] != found[:-1, 0])))
+        cut = np.append(first, len(found)).tolist()
+        spans = np.ascontiguousarray(found[:, 1:])
+        for n in range(0, len(first), 20_000):
+            part = range(n, min(n + 20_000, len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(found[first[n : n + 20_000], 0], pa.int64()), pa.array([spans[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], names=["row", "spans"])
+
+
+def merged(found: np.ndarray) -> np.ndarray:
+    """(row, from, to) as maximal ranges, by row and place; ranges that touch are one."""
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    row = np.concatenate(([True], found[1:, 0] != found[:-1, 0]))
+    # ranges are raised by a step a row, so that one running maximum serves all rows
+    step = (np.cumsum(row) - 1) * (int(found[:, 2].max()) + 2)
+    reach = np.maximum.accumulate(found[:, 2] + step)
+    first = np.flatnonzero(np.concatenate(([True], (found[1:, 1] + step[1:]) > reach[:-1])))
+    return np.column_stack((found[first, 0], found[first, 1], (reach - step)[np.append(first[1:], len(found)) - 1]))
+
+
+def keep(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
+    """What is left of raw, bytes removed, and runs removed; spans: maximal ranges in order."""
+    if not spans:
         return raw, 0, 0
-    spans = merged(np.frombuffer(b"".join(parts_of_spans), dtype=np.int64).reshape(-1, 2))
-    left, at = [], 0
-    for start, end in spans.tolist():
+    left, at, ranges = [], 0, np.frombuffer(spans, dtype=np.int64).reshape(-1, 2).tolist()
+    for start, end in ranges:
         left.append(raw[at:start])
         at = end
     left.append(raw[at:])
     kept = b"".join(left)
-    return kept, len(raw) - len(kept), len(spans)
+    return kept, len(raw) - len(kept), len(ranges)
 
 
 def _covered(docs: DataFrame, text: str, key: str, others: list[str], length: int, gram: int, shard_bytes: int) -> DataFrame:
@@ -379,7 +390,8 @@ def _covered(docs: DataFrame, text: str, key: str, others: list[str], length: in
     # all columns go along, so that this join's exchange of the texts is the one that the last join reads
     with_anchors = rows.join(wanted.hint("shuffle_hash"), F.col("_row") == F.col("row")).drop("row")
     stretches = with_anchors.mapInArrow(_send_stretches(length, gram, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    spans = stretches.mapInArrow(_shards(length, shard_bytes), "row long, spans binary").groupBy("row").agg(F.collect_list("spans").alias("_spans"))
+    found = stretches.mapInArrow(_shards(length, shard_bytes, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    spans = found.mapInArrow(_gather, "row long, spans binary").withColumnRenamed("spans", "_spans")
     return rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").drop("row")
 
 
