@@ -3,12 +3,13 @@
 1. One scan turns each text into its set of shingles and its set's signatures. Equal sets are one class (a 64-bit hash of the
    set; with n sets two different ones meet by chance with n^2 / 2^65). What goes to one shuffle partition from one Arrow batch
    is one packed row: 8 bytes a signature.
-2. A partition sorts its signatures; classes under one signature form a group, sent on as a star around its least class.
-3. Star edges are verified: first by 512 parity bits a class (differing bits are a lower bound of differing members), then by
+2. A partition sorts its signatures; classes under one signature form a group, sent on as a star around the class that most groups have.
+3. Star edges are verified: first by parity bits (differing bits are a lower bound of differing members), then by
    the sets, which are made anew only for classes that have edges.
 4. Verified links give components. In a group that still spans several components, members outside its largest one are
-   verified against all others: with that every pair that shares a signature is either verified or already connected. All
-   pairs of a group are listed nowhere.
+   compared with all others by their parity bits, in blocks of bounded size. Of what may link, first just enough pairs to
+   connect the group are verified, then, where components are still apart, all: with that every pair that shares a
+   signature is either verified, too far apart, or already connected. The pairs of a group are listed nowhere.
 5. A class's component is its smallest document id.
 
 Copies never multiply: classes are told apart before anything is grouped. Nothing is collected but counts; ids of documents
@@ -35,9 +36,10 @@ from tidemark.llm.components import components
 from tidemark.llm.partitions import signatures
 from tidemark.llm.shingles import U, shingle_set
 
-BITS = 512
+LEAST_BITS = 512
 DOC, EDGE, MEMBER = 0, 1, 2
-_AT_ONCE = 1500
+_AT_ONCE = 400
+_BLOCK = 4096
 
 
 def class_of(members: np.ndarray) -> int:
@@ -106,7 +108,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, who = sig[fresh], who[fresh]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(sig)), dtype=bool), sig[1:] != sig[:-1])))
         size = np.diff(np.append(first, len(sig)))
-        hub = np.repeat(who[first], size)
+        # the centre of a star is the member that most groups of the bucket have, as the source of many near copies is
+        names, number, weight = np.unique(who, return_inverse=True, return_counts=True)
+        if len(first):
+            rank = np.lexsort((-names, weight))
+            place = np.empty(len(names), dtype=np.int64)
+            place[rank] = np.arange(len(names))
+            hub = np.repeat(names[rank[np.maximum.reduceat(place[number], first)]], size)
+        else:
+            hub = who
         star = np.unique(np.stack((hub[hub != who], who[hub != who]), axis=1), axis=0)
         if len(star):
             yield rows(EDGE, star[:, 0], star[:, 1])
@@ -118,7 +128,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parity(members: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((members >> U(13)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """For each of some 2^k bits whether an odd number of members hash to it; 2^k grows with the set."""
+    bits = max(LEAST_BITS, 1 << (len(members) - 1).bit_length())
+    return np.packbits(np.bincount((members >> U(13)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(rows: list[bytes]) -> np.ndarray:
+    """Parities as rows of 64-bit numbers, folded to the shortest of them (halves are added up)."""
+    least = min(map(len, rows))
+    out = np.empty((len(rows), least // 8), dtype=np.uint64)
+    for n, row in enumerate(rows):
+        bits = np.frombuffer(row, np.uint64)
+        out[n] = bits if len(row) == least else np.bitwise_xor.reduce(bits.reshape(-1, least // 8), axis=0)
+    return out
+
+
+def may_link(a, b, apart, percent: int):
+    """Whether sets of sizes a and b that differ in `apart` members at least can link."""
+    return 100 * (a + b - apart) >= percent * (a + b + apart)
 
 
 def _sets(k: int):
@@ -133,6 +160,70 @@ def _sets(k: int):
     return make
 
 
+def _forest(apart: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which candidate pairs, nearest first, would join the labels (left, right) to as few components as all of them."""
+    order = np.lexsort((apart, right, left))
+    fresh = np.concatenate(([True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])))
+    best = order[fresh]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (above := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(above, above)
+        return x
+
+    kept = []
+    for n in best[np.argsort(apart[best], kind="stable")].tolist():
+        x, y = find(int(left[n])), find(int(right[n]))
+        if x != y:
+            root[x] = y
+            kept.append(n)
+    return np.array(kept, dtype=np.int64)
+
+
+def _across(percent: int, forest: bool):
+    """Pairs of a group's outside members (side 0) with all its members (side 1) under other labels that may link by their parities;
+    with `forest`, no more of them than could join the group's labels.
+
+    Rows come sorted by group and blocks of it; one such block at a time is held.
+    """
+
+    def compare(own: list[tuple]) -> list[tuple[int, int]]:
+        left, right = ([o for o in own if o[0] == side] for side in (0, 1))
+        if not left or not right:
+            return []
+        bits = folded([o[4] for o in left + right])
+        classes, labels, sizes = (np.array([o[n] for o in right], dtype=np.int64) for n in (1, 2, 3))
+        found = []
+        for n, (_, c, label, size, _) in enumerate(left):
+            near = np.flatnonzero((labels != label) & (np.abs(sizes - size) * percent <= np.maximum(sizes, size) * (100 - percent)))
+            apart = np.bitwise_count(bits[len(left) + near] ^ bits[n]).sum(axis=1).astype(np.int64)
+            good = may_link(sizes[near], size, apart, percent)
+            near = near[good]
+            found.append(np.column_stack((apart[good], np.full(len(near), c), classes[near], np.full(len(near), label), labels[near])))
+        pairs = np.concatenate(found)
+        if forest and len(pairs):
+            pairs = pairs[_forest(pairs[:, 0], pairs[:, 3], pairs[:, 4])]
+        return [(min(c, d), max(c, d)) for c, d in pairs[:, 1:3].tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        block, found = None, set()
+        for batch in batches:
+            for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != block:
+                    found.update(compare(held))
+                    held, block = [], (g, i, j)
+                held.append(tuple(row))
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["u", "v"])
+                found = set()
+        found.update(compare(held))
+        yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["u", "v"])
+
+    return run
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that link."""
     side = lambda name, *columns: sets.select(F.col("c").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
@@ -140,12 +231,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                u, v, a, b = (np.array(batch.column(n).to_pylist()) for n in ("u", "v", "u_n", "v_n"))
-                bits = [np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(len(u), -1) for n in ("u_bits", "v_bits")]
-                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
-                good = 100 * (a + b - apart) >= percent * (a + b + apart)
-                yield pa.RecordBatch.from_arrays([pa.array(u[good], pa.int64()), pa.array(v[good], pa.int64())], names=["u", "v"])
+            good = []
+            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("u_n", "v_n", "u_bits", "v_bits")), strict=True):
+                bits = folded([x, y])
+                good.append(may_link(a, b, int(np.bitwise_count(bits[0] ^ bits[1]).sum()), percent))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +252,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("u", "v", "u_members", "v_members").mapInArrow(by_sets, "u long, v long")
 
 
+def _candidates(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (u, v) of classes that share a group, have different labels and may link by their parities; see _across."""
+    placed = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    by_label = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = by_label.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("labels") > 1)
+    split = split.select("g", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("columns"))
+    open_ = placed.join(split, "g").join(sets.select("c", "n", "bits"), "c")
+    nth = lambda of: F.pmod(F.xxhash64("c"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    row = [F.lit(0).alias("side"), "c", "label", "n", "bits"]
+    outside = open_.where(F.col("label") != F.col("main")).select("g", nth("rows").alias("i"), each("columns").alias("j"), *row)
+    everyone = open_.select("g", each("rows").alias("i"), nth("columns").alias("j"), F.lit(1).alias("side"), *row[1:])
+    blocks = outside.unionByName(everyone).repartition(parts(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return blocks.mapInArrow(_across(percent, forest), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """One row per row of docs: key (as long), n_shingles, component_id, class."""
     spark = docs.sparkSession
@@ -180,18 +286,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = written(chosen.mapInArrow(_sets(k), "c long, n long, bits binary, members binary").dropDuplicates(["c"]), "sets")
 
     links = written(_verify(edges, sets, percent), "links")
-    label = components(links)
-    placed = written(members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")), "members")
-    by_label = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = by_label.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
-    open_ = placed.join(split.select("g", "main"), "g")
-    outside = open_.where(F.col("label") != F.col("main")).select("g", F.col("c").alias("x"), F.col("label").alias("x_label"))
-    across = outside.join(open_.select("g", F.col("c").alias("y"), F.col("label").alias("y_label")), "g").where(F.col("x_label") != F.col("y_label"))
-    across = across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    more = _verify(across.join(edges, ["u", "v"], "left_anti"), sets, percent)
-    more = written(more, "links")
-    if more.take(1):
-        label = components(links.unionByName(more))
+    label, tried = components(links), edges
+    for forest in (True, False):
+        across = written(_candidates(members, label, sets, percent, forest).join(tried, ["u", "v"], "left_anti"), "across")
+        if not across.take(1):
+            break
+        more = written(_verify(across, sets, percent), "links")
+        if more.take(1):
+            links = links.unionByName(more)
+            label = components(links)
+        tried = tried.unionByName(across)
 
     component = least.join(label.withColumnRenamed("node", "c"), "c").groupBy("label").agg(F.min("id").alias("component"))
     named = label.join(component, "label").select(F.col("node").alias("cn"), "component")
