@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 BARS = StructType().add("symbol", "string").add("ts", "timestamp").add("open", "double").add("high", "double").add("low", "double").add("close", "double").add("volume", "double")
 LOG = StructType().add("kind", "string").add("id", "string").add("ts", "timestamp").add("status", "string").add("data", "string")
-RUNS = StructType().add("run_id", "string").add("ts", "timestamp").add("params", "map<string,string>").add("metrics", "map<string,double>").add("tags", "map<string,string>")
+RUNS = "run_id string, ts timestamp, params map<string,string>, metrics map<string,double>, tags map<string,string>"
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
