@@ -40,6 +40,7 @@ LEAST_BITS = 512
 DOC, EDGE, MEMBER = 0, 1, 2
 _AT_ONCE = 400
 _BLOCK = 4096
+_CLASS = "class of its words, while copies are told apart"
 
 
 def class_of(members: np.ndarray) -> int:
@@ -97,6 +98,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = low | (np.concatenate([np.frombuffer(p[1], np.uint16) for p in packs]).astype(np.uint64) << U(32))
         who = np.concatenate([np.frombuffer(p[3], np.int64)[np.frombuffer(p[2], np.uint16)] for p in packs])
         del packs, low
+        if not len(sig):
+            continue
         order = np.argsort(sig, kind="stable")
         sig, who = sig[order], who[order]
         again = np.concatenate(([False], sig[1:] == sig[:-1]))
@@ -306,14 +309,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _with_class(docs: DataFrame, text: str, k: int) -> DataFrame:
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), [*docs.columns, _CLASS]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, k) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.int64())], names=[*docs.columns, "_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.int64())], names=names)
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("_class", LongType())]))
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(_CLASS, LongType())]))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -324,14 +327,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     found = written(near_duplicates(docs, key, text, k, percent, most_broadcast), "components")
     gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
     small = lambda ids: F.broadcast(ids) if ids.count() <= most_broadcast else ids
-    kept = docs.join(small(gone), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    gone = small(gone)
+    kept = docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
     again = written(found.where(F.col(key).isNotNull() & F.col("class").isNotNull()).groupBy(key, "class").count().where("count > 1").select(F.col(key).alias("_again")).distinct(), "again")
     if not again.take(1):
         return kept
-    match = F.col(key).cast("long") == F.col("_again")
-    repeated = _with_class(kept.join(small(again), match, "left_semi"), text, k)
-    alike = repeated.where(F.col("_class").isNotNull()).dropDuplicates([key, "_class"])
-    return kept.join(small(again), match, "left_anti").unionByName(alike.unionByName(repeated.where(F.col("_class").isNull())).drop("_class"))
+    again = small(again)
+    match = kept[key].cast("long") == again["_again"]
+    repeated = _with_class(kept.join(again, match, "left_semi"), text, k)
+    alike = repeated.where(F.col(_CLASS).isNotNull()).dropDuplicates([key, _CLASS])
+    return kept.join(again, match, "left_anti").unionByName(alike.unionByName(repeated.where(F.col(_CLASS).isNull())).drop(_CLASS))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

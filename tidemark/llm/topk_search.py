@@ -12,7 +12,7 @@ the kth score is searched, since a tie goes to the smaller id.
 
 Defined results: vectors that are null, empty of meaning (a null or non-finite component, or one whose multiple is not finite)
 or without an id take no part; vectors of different lengths do not meet; rows with the query's own id are not its candidates;
-equal query rows count once; scores beyond a long are cut to its range; an empty table gives no rows.
+equal query rows count once; scores beyond a long are cut to its range before they are ranked; an empty table gives no rows.
 """
 
 from __future__ import annotations
