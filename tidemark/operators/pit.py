@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import by_symbol, change, lag
+from tidemark.functions.indicators import features
 
 _SERIES = ["entity_id", "indicator_name", "observation_date"]
 
@@ -35,6 +36,17 @@ def known_returns(bars: DataFrame, moment, lookback: int = 252, logs: bool = Fal
     return rows.select("symbol", "ts", value.alias("ret")).where(F.col("ret").isNotNull())
 
 
+def features_as_of(bars: DataFrame, moment, names: list[str] | None = None, lookback: int | None = None, delay: dt.timedelta = dt.timedelta(0)) -> DataFrame:
+    """Named features of what was known at the moment: the cut comes first, so windows see no row after it."""
+    return features(as_of(bars, moment, delay, lookback), names)
+
+
+def feature_matrix(bars: DataFrame, moment, names: list[str], dropna: bool = True) -> DataFrame:
+    """symbol, ts and the features; rows that lack one are left out unless dropna is False."""
+    rows = features_as_of(bars, moment, names).select("symbol", "ts", *names)
+    return rows.dropna() if dropna else rows
+
+
 def rolling_windows(bars: DataFrame, size: int, step: int = 1) -> DataFrame:
     """Every sliding window as rows: window_id and the bars in it. Only windows that a row is in are listed for it."""
     n = F.row_number().over(by_symbol()) - 1
@@ -115,3 +127,12 @@ def vintages_of(rows: DataFrame) -> DataFrame:
     return rows.select(
         *[c for c in rows.columns if c not in ("_r", "value")], F.date_add("observation_date", F.col("_r.days")).alias("release_date"), (F.col("value") * F.col("_r.factor")).alias("value"), F.col("_r.revision_number").alias("revision_number")
     )
+
+
+def synced(store: DataFrame, rows: DataFrame, entity: str = "US_MACRO", source: str = "VINTAGES") -> DataFrame:
+    """store with vintages (series_id, observation_date, release_date, value, revision_number) appended as revisions."""
+    new = rows.select(
+        F.lit(entity).alias("entity_id"), F.col("series_id").alias("indicator_name"), "observation_date", F.col("release_date").cast("timestamp").alias("release_date"),
+        F.col("release_date").cast("timestamp").alias("transaction_time"), "value", "revision_number", F.lit(source).alias("source"), F.lit(None).cast("timestamp").alias("valid_to"),
+    )
+    return insert(store, new)

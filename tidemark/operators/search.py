@@ -92,6 +92,34 @@ def crowding_distances(df: DataFrame, objectives: list[str], front: str = "rank"
     return df.withColumn("crowding", total)
 
 
+def reference_points(objectives: int, divisions: int) -> np.ndarray:
+    """Points of a simplex lattice: all ways to share out `divisions` equal parts among the objectives."""
+    bars_at = itertools.combinations(range(divisions + objectives - 1), objectives - 1)
+    edges = [(-1, *at, divisions + objectives - 1) for at in bars_at]
+    return np.array([[b - a - 1 for a, b in itertools.pairwise(e)] for e in edges]) / divisions
+
+
+def population_stats(df: DataFrame, objectives: list[str], key: str = "id", rank: str = "rank") -> DataFrame:
+    """size, distinct ids, rows on the front, and least, greatest and mean of each objective."""
+    figures = [f(o).alias(f"{n}_{o}") for o in objectives for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
+    return df.agg(F.count(F.lit(1)).alias("size"), F.count_distinct(key).alias("unique"), F.count_if(F.col(rank) == 0).alias("front"), *figures)
+
+
+def injected(population: list[Node], fitness: list[float], n: int, rng: random.Random) -> list[Node]:
+    """population with its n worst trees (a quarter at most) replaced by new random ones that it does not hold yet."""
+    n = min(n, len(population) // 4)
+    order = sorted(range(len(population)), key=lambda i: -fitness[i])
+    kept = [population[i] for i in order[: len(population) - n]]
+    have, tries = {t.hash for t in kept}, 0
+    while len(kept) < len(population) and tries < 100 * n:
+        tries += 1
+        tree = dsl.random_tree(rng)
+        if tree.hash not in have:
+            have.add(tree.hash)
+            kept.append(tree)
+    return kept
+
+
 def top(df: DataFrame, by: str, n: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), key).limit(n)
 

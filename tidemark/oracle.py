@@ -330,6 +330,14 @@ def statements() -> dict[str, str]:
         yy AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS y, exp(sum(ln(1 + ret))) - 1 AS ret FROM run GROUP BY ALL), by_ AS (SELECT symbol, first(y ORDER BY ret DESC, y DESC) AS best_y, first(y ORDER BY ret, y) AS worst_y FROM yy GROUP BY symbol)
         SELECT 'sma_crossover' AS strategy_id, bm.symbol, CAST(bm AS VARCHAR) AS best_month, CAST(wm AS VARCHAR) AS worst_month, best_y AS best_year, worst_y AS worst_year FROM bm JOIN by_ ON bm.symbol = by_.symbol"""
     ).replace("FROM run2) ,", "FROM run2),")
+    out["pit_features"] = f"""WITH {BARS}, k AS (SELECT * FROM n WHERE ts <= TIMESTAMP '1999-06-30'), f AS (SELECT symbol, ts, {full("avg", "close", 20)} AS a, {RET} AS b, {div("volume", full("avg", "volume", 20))} AS c FROM k)
+        SELECT symbol, {TIME}, {r("a", "sma_20")}, {r("b", "returns_1d")}, {r("c", "volume_ratio")} FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"""
+    step = {"GDP": ("3 MONTH", 30), "CPI": ("1 MONTH", 15), "RATE": ("7 DAY", 0)}
+    dates = " UNION ALL ".join(f"SELECT '{k}' AS series_id, CAST(d AS DATE) AS observation_date FROM generate_series(TIMESTAMP '2019-01-01', TIMESTAMP '2020-12-31', INTERVAL {s}) t(d) WHERE CAST(d AS DATE) + {g} <= DATE '2020-06-15'" for k, (s, g) in step.items())
+    out["vintages"] = f"""WITH d AS ({dates}), v AS (SELECT *, 100 * CAST(CAST('0x' || substr(md5(series_id || '_' || CAST(observation_date AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS value FROM d)
+        SELECT series_id, CAST(observation_date AS VARCHAR) AS observation_date, CAST(observation_date + CAST(30 * (k + 1) AS INTEGER) AS VARCHAR) AS release_date, {r("value * [0.98, 0.99, 1.0][k + 1]", "value")}, CAST(k AS INTEGER) AS revision_number FROM v, range(3) t(k)"""
+    out["leaderboard"] = f"SELECT 'sma_crossover|' || symbol AS run_id, volatility, CAST(num_trades AS DOUBLE) AS num_trades FROM ({out['metrics']}) WHERE num_trades >= 10 ORDER BY volatility DESC, 1 LIMIT 3"
+    out["population_stats"] = f"""SELECT count(*) AS size, count(DISTINCT p_partkey) AS unique, count(*) FILTER (p_partkey % 4 = 0) AS front, {", ".join(r(f"{f}({x})", f"{f}_{n}") for x, n in (("p_size", "size"), ("p_retailprice", "p_retailprice")) for f in ("min", "max", "avg"))} FROM part"""
     out["bad_revisions"] = f"WITH {PIT} SELECT entity_id, indicator_name, CAST(observation_date AS VARCHAR) AS observation_date, {_D.format('release_date')}, {r('value', 'value')}, revision_number, source, {_D.format('valid_to')} FROM pit QUALIFY pit.release_date < lag(pit.release_date) OVER (PARTITION BY entity_id, observation_date ORDER BY revision_number)"
     del vol
     return {k: v for k, v in out.items() if not k.startswith("_")}

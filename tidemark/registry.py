@@ -15,7 +15,7 @@ from tidemark.functions import indicators as I  # noqa: N812
 from tidemark.functions.core import by_symbol, change, div, lag
 from tidemark.operators import analysis, backtest, execution, pit, quality, search, validation
 from tidemark.plans import dsl, strategy
-from tidemark.sources import bars
+from tidemark.sources import bars, store
 from tidemark.streaming import cusum
 
 MOMENT = "1999-06-30 00:00:00"
@@ -178,6 +178,20 @@ def _pit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pit.pit_join(keys, revisions))
 
 
+def _vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pit.vintages_of(pit.mock_vintages(spark, {"GDP": "Q", "CPI": "M", "RATE": "W"}, "2019-01-01", "2020-12-31", "2020-06-15")))
+
+
+def _leaders(b: DataFrame) -> DataFrame:
+    runs = store.logged_runs(backtest.metrics(crossover_run(b)), {"template": "sma_crossover"}, F.col("num_trades") >= 10)
+    return store.leaderboard(runs, "volatility", 3).select("run_id", F.col("metrics")["volatility"].alias("volatility"), F.col("metrics")["num_trades"].alias("num_trades"))
+
+
+def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), "p_retailprice", (F.col("p_partkey") % 4).alias("rank"))
+    return rounded(search.population_stats(rows, ["size", "p_retailprice"]))
+
+
 def queries() -> dict:
     W = {  # noqa: N806
         "returns": lambda: {"ret": change("close"), "log_ret": F.log(div("close", lag("close")))},
@@ -207,7 +221,8 @@ def queries() -> dict:
         "regimes": _on_bars(lambda b: analysis.regimes(b).select("symbol", "ts", "realized_vol", "historical_vol", "trend_slope", "return_20", "drawdown", "regime")),
         "regime_attribution": lambda s, d: rounded(analysis.by_regime(crossover_run(b := bars.bars_lineitem(s, d)), analysis.regimes(b))),
         "quality_issues": _on_bars(_quality), "quality_report": _on_bars(quality.report), "lookahead": _on_bars(_lookahead),
-        "pit_as_of": _on_bars(lambda b: pit.as_of(b, MOMENT, dt.timedelta(days=1), 30)), "pit_latest": _on_bars(lambda b: pit.latest(b, MOMENT)), "pit_returns": _on_bars(lambda b: pit.known_returns(b, MOMENT, 20)),
+        "pit_as_of": _on_bars(lambda b: pit.as_of(b, MOMENT, dt.timedelta(days=1), 30)), "pit_latest": _on_bars(lambda b: pit.latest(b, MOMENT)), "pit_features": _on_bars(lambda b: pit.feature_matrix(b, MOMENT, ["sma_20", "returns_1d", "volume_ratio"])), "vintages": _vintages, "leaderboard": _on_bars(_leaders), "population_stats": _population,
+        "pit_returns": _on_bars(lambda b: pit.known_returns(b, MOMENT, 20)),
         "pit_value": _on_revisions(lambda r: pit.pit_value(r, MOMENT)), "pit_join": _pit_join, "latest_revision": _on_revisions(pit.latest_revision),
         "revision_history": _on_revisions(lambda r: pit.revision_history(r, "1-URGENT", "1998-03-02").drop("transaction_time")), "bad_revisions": _on_revisions(lambda r: pit.bad_revisions(r).drop("transaction_time")),
         "rolling_windows": _on_bars(lambda b: pit.rolling_windows(b, 250, 200).groupBy("symbol", "window_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.avg("close").alias("mean_close"))),

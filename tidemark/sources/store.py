@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -95,6 +95,17 @@ def counters(log: DataFrame) -> DataFrame:
     return out.select("*", rate("validated", "generated"), rate("passed", "validated"), rate("deployed", "passed"))
 
 
+def logged_runs(metrics: DataFrame, params: dict[str, str], passed: Column, tags: dict[str, str] | None = None) -> DataFrame:
+    """Rows for the table of runs (RUNS) from metrics of strategies: one run per strategy and symbol, tagged with whether it passed."""
+    names = [n for n, kind in metrics.dtypes if kind in ("double", "bigint", "int")]
+    pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("double"))]
+    fixed = [x for k, v in (tags or {}).items() for x in (F.lit(k), F.lit(v))]
+    return metrics.select(
+        F.concat_ws("|", "strategy_id", "symbol").alias("run_id"), F.current_timestamp().alias("ts"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]).alias("params"),
+        F.create_map(*pairs).alias("metrics"), F.create_map(F.lit("passed"), passed.cast("string"), *fixed).alias("tags"),
+    )
+
+
 def leaderboard(runs: DataFrame, metric: str = "sharpe_ratio", n: int = 10, passed: bool = True) -> DataFrame:
     rows = runs.where(F.col("tags")["passed"] == "true") if passed else runs
     return rows.orderBy(F.col("metrics")[metric].desc_nulls_last(), "run_id").limit(n)
