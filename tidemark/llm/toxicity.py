@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, table
+from tidemark.llm.common import crc_of_id, parts_of, table
 
 #: Insults to start from. Fixed values.
 SEED = frozenset("idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb".split())
@@ -52,35 +52,43 @@ def terms(word: str) -> list[str]:
 
 
 class Tokens(dict):
-    """Token to flags, worked out once a token; emptied when it has grown to a million."""
+    """Token to flags, worked out once a token; emptied when it has grown to a hundred thousand."""
 
     def __init__(self, lexicon: frozenset[str], soft: frozenset[str]):
         super().__init__()
-        self.soft, self.lexicon, self.flat = soft, lexicon, frozenset(_RUN.sub(r"\1", w) for w in (lexicon | SEED) if w[-1:] != "~" and len(w) > 3)
+        self.lexicon, self.soft = lexicon, soft
+        self.flat = frozenset(_RUN.sub(r"\1", w) for w in (lexicon | SEED) if w[-1:] != "~" and len(w) > 3)
+        # most words are told to be in no list by their first letters
+        self.heads = frozenset(w[:4] for w in lexicon | soft | SEED)
+        self.first = frozenset(w[0] for w in self.flat)
 
     def listed(self, word: str) -> int:
-        return (HIT if any(t in self.lexicon for t in terms(word)) else 0) | (SEEDED if word in SEED else 0) | (SOFT if any(t in self.soft for t in terms(word)) else 0)
+        if word[:4] not in self.heads:
+            return 0
+        own = terms(word)
+        return (HIT if any(t in self.lexicon for t in own) else 0) | (SEEDED if word in SEED else 0) | (SOFT if any(t in self.soft for t in own) else 0)
 
     def __missing__(self, token: str) -> int:
-        bare = _EDGE.sub("", token)
+        plain = token.isalpha()
+        bare = token if plain else _EDGE.sub("", token)
         word = bare.lower()
         flags = self.listed(word) | (YOU if word in SECOND else 0)
-        letters = _INNER.findall(word)
         if len(bare) > 2 and bare.isupper():
             flags |= CAPS
         if token[-1:] in ("!", "?"):
             flags |= LOUD
+        letters = [word] if word.isalpha() else _INNER.findall(word)
         if len(word) == 1 and letters:
             flags |= LETTER
-        if letters and letters != [word] or token != bare and any(c in token for c in "@$"):
+        if letters and letters != [word] or not plain and token != bare and any(c in token for c in "@$"):
             flags |= ODD
             if not flags & (HIT | SEEDED):
                 for guess in ("".join(letters), "".join(_INNER.findall(token.strip(".,;:?\"'()[]").lower().translate(LEET)))):
                     if (found := self.listed(guess)) & (HIT | SEEDED) and len(guess) > 3:
                         flags |= HIDDEN | found
-        elif not flags & (HIT | SEEDED) and _RUN.search(word) and _RUN.sub(r"\1", word) in self.flat:
+        elif word[:1] in self.first and not flags & (HIT | SEEDED) and _RUN.search(word) and _RUN.sub(r"\1", word) in self.flat:
             flags |= HIDDEN | HIT
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = flags
         return flags
@@ -266,8 +274,8 @@ def toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model["lexicon"], model["soft"])
-        for batch in batches:
-            found = score(batch.column(1).to_pylist(), model, tokens) if batch.num_rows else np.zeros(0)
+        for batch in parts_of(batches):
+            found = score(batch.column(1).to_pylist(), model, tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["k", "score"])
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -281,9 +289,8 @@ def without_toxic(docs: DataFrame, model: dict, text: str = "text") -> DataFrame
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model["lexicon"], model["soft"])
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(score(batch.column(at).to_pylist(), model, tokens) < 0.5, pa.bool_()))
+        for batch in parts_of(batches):
+            yield batch.filter(pa.array(score(batch.column(at).to_pylist(), model, tokens) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)
 
