@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import parts_of, table
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -157,7 +157,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            for batch in batches:
+            for batch in parts_of(batches):
                 rows = [(n, i, c, w) for n, t in enumerate(batch.column(1).to_pylist()) for i, (c, w) in own.leaks(t, coverage).items()]
                 keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], to_arrow_type(item_type)), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=["k", "i", "covered_words", "item_words"])
@@ -180,7 +180,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
     def keeper(own: Slice):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts_of(batches):
                 yield batch.filter(pa.array([not own.leaks(t, coverage) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return keep

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import parts_of, table, written
 
 #: Elements without an end tag. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none: frozenset[int] = frozenset()
-        for batch in batches:
+        for batch in parts_of(batches):
             columns = [batch.column(n).to_pylist() for n in (2, 3, 4)]
             found = [main_text(h, set(n) if n else none, set(t) if t else none) for h, n, t in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(f) for f in found], pa.int64())], names=["k", "u", "text", "n_chars"])

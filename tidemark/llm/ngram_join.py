@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import parts, table, written
+from tidemark.llm.common import parts, parts_of, table, written
 from tidemark.llm.components import components
 from tidemark.llm.partitions import signatures
 from tidemark.llm.shingles import U, shingle_set
@@ -241,7 +241,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             good = []
             for a, b in zip(batch.column("u_members"), batch.column("v_members"), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
@@ -312,7 +312,7 @@ def _with_class(docs: DataFrame, text: str, k: int) -> DataFrame:
     at, names = docs.columns.index(text), [*docs.columns, _CLASS]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [shingle_set(t, k) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.int64())], names=names)
 

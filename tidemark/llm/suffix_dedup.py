@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts, table
+from tidemark.llm.common import parts, parts_of, table
 from tidemark.llm.shingles import U, _tables, mix
 
 _LOW = U((1 << 20) - 1)
@@ -399,7 +399,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             found = [keep(raw, spans) for raw, spans in zip(raws, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -418,7 +418,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     others = [F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != text]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = [None if t is None else t if not s else keep(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(f"_c{n}") for n, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)

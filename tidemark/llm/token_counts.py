@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import parts_of, table
 
 MARK = "▁"
 
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """One row per row of docs: key, n_bytes, n_tokens, over_limit (more than limit tokens)."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column(1)
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             n_tokens = pa.array(count_tokens(texts.to_pylist(), model_path), pa.int64())
