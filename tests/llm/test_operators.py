@@ -264,7 +264,7 @@ def test_decontamination(spark, odd_docs, no_docs):
 
 # ---- op8 -------------------------------------------------------------------------------------------------------------------
 def test_main_text():
-    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><header><h1>A &amp; b&#33;</h1></header><p>one <b>two<br>three<p>four&nbsp; five<aside>side</aside><div class='ad-box'>buy</div><ul><li>x<li>y</ul><section id=comments><p>me too</section></article><footer>f</footer><script>s('<p>')</script></body></html>"
+    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><header><h1>A &amp; b&#33;</h1></header><p>one <b>two<br>three<p>four&nbsp; five<aside>side</aside><div class='ad-box'>buy</div><div id='cookieBanner'>ok</div><ul><li>x<li>y</ul><section id=comments><p>me too</section></article><footer>f</footer><script>s('<p>')</script></body></html>"
     assert html_text.main_text(page, set(), set()) == "A & b!\none two three\nfour five\nx\ny"
     plain = "<div class='cookie-notice'>ok?</div><div class='content has-sidebar'><h1>T</h1>body<p>more</div><form>f<input></form><div class=sidebar>no</div>"
     assert html_text.main_text(plain, set(), set()) == "T\nbody\nmore"

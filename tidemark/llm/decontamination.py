@@ -147,7 +147,7 @@ def slices(benchmark: DataFrame, item: str, text: str, min_match: int, slice_cha
         yield Slice([(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == part).sort("i", "t").collect()], min_match)
 
 
-def leaked_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = 5, coverage: float = 0.5, slice_chars: int = 8_000_000) -> DataFrame:
+def leaked_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = 5, coverage: float = 0.5, slice_chars: int = 2_000_000) -> DataFrame:
     """One row per document row and leaked item: key, item, covered_words, item_words, coverage."""
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kinds = slim.schema["k"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
@@ -174,7 +174,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return found.select(F.col("k").alias(key), F.col("i").alias(item), "covered_words", "item_words", (F.col("covered_words") / F.col("item_words")).alias("coverage"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = 5, coverage: float = 0.5, slice_chars: int = 8_000_000) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = 5, coverage: float = 0.5, slice_chars: int = 2_000_000) -> DataFrame:
     """docs without the rows into which an item is leaked; all columns stay."""
     at = docs.columns.index(text)
 

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import parts_of, table, written
@@ -53,23 +53,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _NOISE_NAME = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menus|sidebar|sidenav|side|footer|foot|ad|ads|adv|advert|adverts|advertisement|adslot|adbox|sponsor|sponsored|promo|promotion|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|breadcrumb|breadcrumbs|comment|comments|reply|replies|respond|"
+    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menus|sidebar|sidebars|sidenav|side|footer|foot|masthead|banner|banners|ad|ads|adv|advert|adverts|advertisement|advertising|adslot|adbox|sponsor|sponsored|promo|promotion|"
+    r"cookie|cookies|consent|gdpr|notice|notices|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|breadcrumb|breadcrumbs|comment|comments|commentlist|reply|replies|respond|"
     r"disqus|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|skip|search|form)(?:$|[-_\s\d])",
     re.IGNORECASE,
 )
 #: Names that are noise outside the main part only.
-_HEAD_NAME = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner)(?:$|[-_\s\d])", re.IGNORECASE)
+_HEAD_NAME = re.compile(r"(?:^|[-_\s])(?:header)(?:$|[-_\s\d])", re.IGNORECASE)
 _STATE_NAME = re.compile(r"(?<!\S)(?:has|no|with|without|is)[-_]\S+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
-_HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def host_of(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), _HOST, 1))
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -79,7 +79,7 @@ def _look(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
         return tag, tag in NOISE, tag in ("article", "main"), tag in PLAIN, tag == "header"
     found = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    said = _STATE_NAME.sub("", names)
+    said = _HUMP.sub("-", _STATE_NAME.sub("", names))
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     prop = found.get("itemprop", "").lower()
@@ -212,8 +212,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, kind, value, pages): kind 0 the node itself, 1 a text in it, 2 a layout of its children."""
     for batch in batches:
         seen: Counter = Counter()
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host = host_of(url)
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, layouts = parse(page)
             own = {(host, b[0], 1, hash_of(b[4])) for b in blocks}
             own |= {(host, b[0], 0, 0) for b in blocks}
@@ -241,7 +240,7 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def site_cuts(pages: DataFrame, url: str = "url", html: str = "html", low: float = 0.55, everywhere: float = 0.8, enough: int = 5) -> DataFrame:
     """One row per host that has any: host, nodes (hashes of nodes of low importance), texts (hashes of texts on nearly all pages)."""
-    slim = pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
+    slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("h"))
     counts = slim.mapInArrow(_counts, "host string, node long, kind int, value long, pages long")
     counts = written(counts.groupBy("host", "node", "kind", "value").agg(F.sum("pages").alias("pages")), "style-trees")
     own = _importance(counts, ["host", "node"])
@@ -275,7 +274,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     cuts = written(site_cuts(pages, url, html), "style-cuts")
     entries = cuts.agg(F.sum(F.size("nodes") + F.size("texts") + 4)).first()[0] or 0
     slim = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
-    slim = slim.withColumn("host", F.lower(F.regexp_extract(F.coalesce("u", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    slim = slim.withColumn("host", host_of(F.col("u")))
     joined = slim.join(F.broadcast(cuts) if entries <= most_broadcast else cuts, "host", "left").select("k", "u", "h", "nodes", "texts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

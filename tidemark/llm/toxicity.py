@@ -256,7 +256,7 @@ def score(texts: list[str | None], model: dict, tokens: Tokens) -> np.ndarray:
     return np.clip(np.interp(margins(model["trees"], x), *model["steps"]), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 6000, fit_chars: int = 100_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 6000, fit_chars: int = 50_000) -> dict:
     """labels: key and toxic (0 or 1), of the rows that may be learnt from."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
