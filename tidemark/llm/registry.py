@@ -26,4 +26,5 @@ def oracle_sql() -> dict:
         "op4_chat_format": chat_format.OP4_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
+        "op10_suffix_dedup": suffix_dedup.OP10_SQL,
     }

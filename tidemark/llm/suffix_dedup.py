@@ -429,3 +429,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, s, hash(b[s + 1 : s + 200]) AS h FROM (SELECT r, b, unnest(range(0, greatest(octet_length(b) - 199, 0))) AS s FROM d)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+runs AS (SELECT r, s, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS run FROM (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 200, true) AS fresh FROM again)),
+spans AS (SELECT r, run, min(s) AS a, max(s) + 200 AS z FROM runs GROUP BY r, run),
+cuts AS (SELECT r, list(a ORDER BY a) AS la, list(z ORDER BY a) AS lz, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(CASE WHEN la IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, len(la) + 1), lambda i: hex(b[CASE WHEN i = 0 THEN 1 ELSE lz[i] + 1 END : CASE WHEN i = len(la) THEN octet_length(b) ELSE la[i + 1] END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN cuts ON d.r = cuts.r
+"""
