@@ -167,20 +167,20 @@ def expanding_rank(x: Column | str, at_least: int = 60) -> Column:
 
 
 def basic_bundle(df: DataFrame) -> DataFrame:
-    """df with the 22 basic columns."""
+    """df with the 22 basic columns. Windows come first: the grouped pass then finds each symbol's rows together already."""
     O, H, L, C, V = _bar()  # noqa: E741
-    df = with_recursive(df, [("ema", 12), ("ema", 26), ("macd",), ("rsi", 14), ("atr", 14), ("adx", 14)])
     columns = {f"sma_{n}": sma(n) for n in (20, 50, 200)} | {"momentum_10": momentum(10)} | bollinger() | {"volatility_20": volatility(20)} | stochastic()
     columns |= {"williams_r": williams_r(), "obv": obv(), "volume_sma_20": mean(V, 20), "volume_ratio": div(V, mean(V, 20))}
-    return df.select("*", *[v.alias(k) for k, v in columns.items()])
+    df = df.select("*", *[v.alias(k) for k, v in columns.items()])
+    return with_recursive(df, [("ema", 12), ("ema", 26), ("macd",), ("rsi", 14), ("atr", 14), ("adx", 14)])
 
 
 def advanced_bundle(df: DataFrame) -> DataFrame:
     """df with the advanced columns."""
-    df = with_recursive(df, [("keltner",), ("chaikin",), ("mass",)])
     columns = stochastic() | {"williams_r": williams_r(), "cci": cci(), "mfi": mfi(), "obv": obv(0.0)} | ichimoku()
     columns |= {"garman_klass": garman_klass(), "parkinson": parkinson()} | vortex() | donchian() | {"ultimate": ultimate()} | kst() | aroon()
-    return df.select("*", *[v.alias(k) for k, v in columns.items()])
+    df = df.select("*", *[v.alias(k) for k, v in columns.items()])
+    return with_recursive(df, [("keltner",), ("chaikin",), ("mass",)])
 
 
 #: Features by name, as a function that makes the column or as a recursive indicator; register() adds to them.
@@ -200,9 +200,9 @@ def features(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = list(FEATURES) if names is None else names
     if unknown := [n for n in names if n not in FEATURES]:
         raise KeyError(f"unknown features: {unknown}")
-    if recursive := [FEATURES[n] for n in names if isinstance(FEATURES[n], tuple)]:
-        df = with_recursive(df, recursive)
-    return df.select("*", *[FEATURES[n]().alias(n) for n in names if not isinstance(FEATURES[n], tuple)])
+    df = df.select("*", *[FEATURES[n]().alias(n) for n in names if not isinstance(FEATURES[n], tuple)])
+    recursive = [FEATURES[n] for n in names if isinstance(FEATURES[n], tuple)]
+    return with_recursive(df, recursive) if recursive else df
 
 
 __all__ = ["FEATURES", "RECURSIVE", "advanced_bundle", "basic_bundle", "features", "register", "with_recursive"]

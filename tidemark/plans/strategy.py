@@ -176,9 +176,8 @@ def with_indicators(df: DataFrame, names: set[str]) -> DataFrame:
             columns.append(I.obv().alias(n))
         else:
             raise KeyError(f"unknown indicator: {n}")
-    if recursive:
-        df = I.with_recursive(df, list(dict.fromkeys(recursive)))
-    return df.select("*", *columns) if columns else df
+    df = df.select("*", *columns) if columns else df
+    return I.with_recursive(df, list(dict.fromkeys(recursive))) if recursive else df
 
 
 def _resolve(name: str, columns: list[str]) -> Column:
