@@ -17,7 +17,7 @@ place (document, start) comes to exactly one shard.
 4. Covered ranges go back to their document, which is cut.
 
 The text is shuffled once (both joins read the same exchange). A passage that a third of all documents share is sent once a
-batch, with 12 bytes a place; no group's text is gathered.
+batch, with 16 bytes a place; no group's text is gathered.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts shorter than `length` lose nothing; equal rows are
 each other's elsewhere; a row is known by a 64-bit hash of id and text, which null ids and repeated ids do not disturb.
