@@ -332,6 +332,16 @@ def test_ngram_join(spark, k, percent):
     assert ngram_join.near_duplicates(df, k=k, percent=percent, most_broadcast=0).count() == len(rows)
 
 
+def test_ngram_join_looks_past_tried_pairs(spark):
+    """The nearest pair by parity bits is a star edge that failed; the pair that links is another one of the group."""
+    rows = []
+    for seed in (1607, 1750, 2603):
+        words, others = [f"s{seed}w{i}" for i in range(130)], [f"s{seed}x{i}" for i in range(5)]
+        rows += [(3 * seed, " ".join(words[:104])), (3 * seed + 1, " ".join(words)), (3 * seed + 2, " ".join(words[:109] + others))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 5, 80)
+
+
 def test_no_similar_pair_lacks_a_signature():
     rng = np.random.default_rng(10)
     for percent in (85, 80, 50):

@@ -289,11 +289,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = written(chosen.mapInArrow(_sets(k), "c long, n long, bits binary, members binary").dropDuplicates(["c"]), "sets")
 
     links = written(_verify(edges, sets, percent), "links")
-    label, tried = components(links), edges
+    label, tried = components(links), edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     for forest in (True, False):
         across = written(_candidates(members, label, sets, percent, forest).join(tried, ["u", "v"], "left_anti"), "across")
         if not across.take(1):
-            break
+            continue  # the nearest pairs may all have been tried, which says nothing of the others
         more = written(_verify(across, sets, percent), "links")
         if more.take(1):
             links = links.unionByName(more)
