@@ -431,6 +431,16 @@ def test_suffix_array_order():
     assert all(stretches[n][o : o + 20] == strings[x] for n, o, x in zip(shard.stretch, shard.offset, shard.string, strict=True))
 
 
+def test_common_prefixes_after_a_difference():
+    rng = random.Random(14)
+    same = bytes(rng.choices(range(99, 123), k=300))
+    shard = suffix_dedup.Shard([b"a" + same, b"b" + same], 200)
+    strings = {x[i : i + 200] for x in (b"a" + same, b"b" + same) for i in range(102)}
+    assert len(shard.first) == len(strings) == 103
+    found = sorted(suffix_dedup.repeated([(1, b"a" + same), (1, b"b" + same)], [1, 1], 200, 1 << 20))
+    assert found == [(0, 1, 301), (1, 1, 301)]
+
+
 def test_suffix_dedup_odd(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeated_bytes(odd_docs).collect())

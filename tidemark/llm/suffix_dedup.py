@@ -189,8 +189,9 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Bytes that each suffix of `order` has in common with the one before it there (0 for the first), `most` at most.
 
-    After Kasai: if p follows q, and p - 1 follows q - 1, the prefix of p is one shorter than that of p - 1. Only the
-    heads of such runs are compared, eight bytes at a time.
+    After Kasai: if p follows q, and p - 1 follows q - 1, the prefix of p is one shorter than that of p - 1, if that is 1 at
+    least. Only the heads of such runs are compared, eight bytes at a time; after a prefix of 0, which at most 255 neighbours
+    have, a run has a new head.
     """
     out = np.zeros(len(order), dtype=np.int64)
     if len(order) < 2:
@@ -199,19 +200,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     by = np.argsort(p, kind="stable")
     sp, sq = p[by], q[by]
     head = np.concatenate(([True], (sp[1:] != sp[:-1] + 1) | (sq[1:] != sq[:-1] + 1)))
-    hp, hq = sp[head], sq[head]
-    run = np.diff(np.append(np.flatnonzero(head), len(sp)))
-    limit = np.minimum(most + run, len(text) - 8 - np.maximum(hp, hq))
-    same, active, done = np.zeros(len(hp), dtype=np.int64), np.arange(len(hp)), 0
-    while len(active):
-        a, b = hp[active] + done, hq[active] + done
-        apart = np.full(len(active), 8, dtype=np.int64)
-        for i in range(7, -1, -1):
-            apart[text[a + i] != text[b + i]] = i
-        same[active] += apart
-        done += 8
-        active = active[(apart == 8) & (limit[active] > done)]
-    length = np.minimum(same, limit)[np.cumsum(head) - 1] - (np.arange(len(sp)) - np.flatnonzero(head)[np.cumsum(head) - 1])
+    begin, length = np.flatnonzero(head), np.zeros(len(sp), dtype=np.int64)
+    end = np.append(begin[1:], len(sp))
+    while len(begin):
+        hp, hq, run = sp[begin], sq[begin], end - begin
+        limit = np.minimum(most + run, len(text) - 8 - np.maximum(hp, hq))
+        same, active, done = np.zeros(len(hp), dtype=np.int64), np.arange(len(hp)), 0
+        while len(active):
+            a, b = hp[active] + done, hq[active] + done
+            apart = np.full(len(active), 8, dtype=np.int64)
+            for i in range(7, -1, -1):
+                apart[text[a + i] != text[b + i]] = i
+            same[active] += apart
+            done += 8
+            active = active[(apart == 8) & (limit[active] > done)]
+        same = np.minimum(same, limit)
+        within = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        length[np.repeat(begin, run) + within] = np.repeat(same, run) - within
+        more = same + 1 < run
+        begin, end = (begin + same + 1)[more], end[more]
     out[1:][by] = np.clip(length, 0, most)
     return out
 
