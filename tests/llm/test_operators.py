@@ -288,6 +288,19 @@ def test_style_tree_finds_repeated_branches(spark):
     assert shuffled == got
 
 
+def test_copies_on_a_large_host_stay(spark):
+    notice = "<p>all rights are with their owners</p>"
+    rows = [(i, f"https://a.example/{i}", f"<div class='zz'><p>{'one story for a third' if i < 100 else f'story {i}'}</p>{notice if i % 10 else ''}</div>") for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "one story for a third" if i < 100 else f"story {i}" for i in range(300)}
+
+
+@pytest.mark.parametrize("opening", ["<article class='post'>", "<main id=content>", "<main><div class=x><article class='post'>", "<div role=main class=c>"])
+def test_plain_tags_of_a_named_main_part_stay(opening):
+    cut = {html_text.hash_of("one"), html_text.hash_of("two")}
+    assert html_text.main_text(f"{opening}<p>one</p><p class=x>two</p>", set(), cut) == "one"
+
+
 # ---- op9 -------------------------------------------------------------------------------------------------------------------
 def brute_components(rows, k, percent):
     sets = {}

@@ -10,10 +10,11 @@ and roles. A node that holds text gets an importance from entropy:
 A text node's importance is 0.9 of the first and 0.1 of the second (the weighting of one level of the published formula), a
 host of few pages being blended with the tree of all hosts. What markup itself says is a prior: nav, header, footer,
 aside, form, script, style and the like, and classes, ids and roles for menus, adverts, notices, sidebars or comments,
-have importance 0 where entropy alone would keep them. Branches of low importance are cut, and so are single texts that nearly every page of the host has.
+have importance 0 where entropy alone would keep them. Branches of low importance are cut, and so are single texts that nearly every page of the
+host with that node has (a share `everywhere` of them, whatever their number).
 
-Where a page marks its article or main part, only that part is extracted, and plain content tags in it (p, h1, li ...,
-without classes) are content whatever their entropy: copies of an article on one host do not make it a notice.
+Where a page marks its article or main part, named or not, only that part is extracted, and plain content tags in it (p, h1,
+li ..., without classes) are content whatever their entropy: copies of an article on one host do not make it a notice.
 
 Scale: a page is parsed twice. The first pass sends (host, node, text hash) counts, combined in each Arrow batch and again
 before the shuffle; no page's text is shuffled and no group is gathered. The second pass needs the cut nodes of the page's
@@ -196,7 +197,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, bool, str]], Co
             flush()
         noise_here = head and not (above[3] or main) or noise
         above[6].append(signature)
-        stack.append((tag, _path(above[1], signature), above[2] or noise_here, above[3] or main, (plain or inline) if main else above[4] and (plain or inline), not inline, []))
+        stack.append((tag, _path(above[1], signature), above[2] or noise_here, above[3] or main, main or above[4] and (plain or inline), not inline, []))
         opened[tag] += 1
         owner = stack[-1]
     close(1)
@@ -250,7 +251,7 @@ def site_cuts(pages: DataFrame, url: str = "url", html: str = "html", low: float
     blended = trust * F.col("importance") + (1 - trust) * F.coalesce("all_importance", F.lit(1.0))
     nodes = both.where((blended < low) & (F.greatest("m", F.coalesce("all_m", F.lit(0))) >= enough)).select("host", F.lit(0).alias("kind"), F.col("node").alias("value"))
     spread = counts.where("kind = 1").join(own.select("host", "node", "m").where(F.col("m") >= enough), ["host", "node"])
-    texts = spread.where((F.col("pages") > 1) & (F.log(F.col("pages").cast("double")) >= everywhere * F.log(F.col("m").cast("double")))).select("host", F.lit(1).alias("kind"), "value")
+    texts = spread.where((F.col("pages") > 1) & (F.col("pages") >= everywhere * F.col("m"))).select("host", F.lit(1).alias("kind"), "value")
     cuts = nodes.unionByName(texts).groupBy("host").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("value"))).alias("nodes"), F.collect_set(F.when(F.col("kind") == 1, F.col("value"))).alias("texts"))
     return cuts
 
