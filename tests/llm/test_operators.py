@@ -301,6 +301,11 @@ def test_plain_tags_of_a_named_main_part_stay(opening):
     assert html_text.main_text(f"{opening}<p>one</p><p class=x>two</p>", set(), cut) == "one"
 
 
+def test_empty_and_unclosed_elements_do_not_swallow_the_page():
+    assert html_text.main_text("<p>a</p><svg class='x' /><p>b</p><svg><text>no</text></svg><math/><p>c</p>", set(), set()) == "a\nb\nc"
+    assert html_text.main_text("<p>a</p><object data='x'><p>b</p><video src=y><p>c</p><script>no", set(), set()) == "a\nb\nc"
+
+
 # ---- op9 -------------------------------------------------------------------------------------------------------------------
 def brute_components(rows, k, percent):
     sets = {}

@@ -44,6 +44,8 @@ from tidemark.llm.common import parts_of, table, written
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page. Fixed values.
 RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select math noframes".split())
+#: Of these, the ones that run to the end of the page where they are never closed. Fixed values.
+_TO_END = frozenset("script style noscript template textarea title iframe noframes".split())
 #: Elements inside a line of text. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Plain elements of an article. Fixed values.
@@ -107,6 +109,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, bool, str]], Co
     stack: list[tuple] = [("", 0, False, False, True, True, [])]
     opened: Counter = Counter()
     text: list[str] = []
+    unclosed: set[str] = set()
     owner = stack[-1]
 
     def flush() -> None:
@@ -164,15 +167,19 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, bool, str]], Co
             elif tag == "hr":
                 flush()
             continue
+        if tag in ("svg", "math") and attrs.rstrip().endswith("/"):
+            continue
         if tag in RAW or tag == "head":
             if lower is None:
                 lower = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
-            stop = lower.find(f"</{tag}", at)
+            stop = -1 if tag in unclosed else lower.find(f"</{tag}", at)
             if stop != -1:
                 stop = page.find(">", stop)
                 at = end if stop == -1 else stop + 1
-            elif tag != "head":
+            elif tag in _TO_END:
                 at = end
+            else:
+                unclosed.add(tag)
             continue
         signature, noise, main, plain, head = _look(tag, attrs)
         inline = tag in INLINE
