@@ -40,17 +40,60 @@ def scratch(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder (in folders by the values of a column): cuts lineage, survives lost executors, is computed once.
+
+    The shuffle files behind it go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+class Tables:
+    """Written tables of one call, which are deleted at its end; what the call returns must be written outside of them."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def written(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        self.held.append(written(df, name, by))
+        return self.held[-1]
+
+    def __exit__(self, *_) -> None:
+        while self.held:
+            removed(self.held.pop())
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parts(spark: SparkSession, n_bytes: int = 0, most_bytes: int = 64 << 20) -> int:
+    """Number of partitions for a shuffle that an operator deals out by hand: spark.sql.shuffle.partitions, or more for more bytes."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // most_bytes))
 
 
-def parts(spark: SparkSession) -> int:
-    """Number of partitions for a shuffle that an operator deals out by hand."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """UTF-8 bytes of all texts: one aggregate that reads no other column."""
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
 
 
 def crc_of_id(column: str = "doc_id"):
