@@ -3,11 +3,16 @@
 Texts travel to Python in Arrow batches; what goes to the tokenizer at once is bounded by bytes, not rows. A long
 text is cut at safe boundaries first, so that no call sees more than a bounded piece and memory stays flat.
 
-Why a boundary is safe. The model turns a space into U+2581 and puts one more U+2581 before each text. No piece of
-its vocabulary holds U+2581 after another character (checked when the model is loaded), so no merge joins a
-character with a U+2581 that follows it. Cutting at one space between two characters that are neither space nor
-U+2581, and dropping that space (the mark before the next segment stands for it), leaves all merges as they were.
-If a vocabulary fails that check, texts are encoded whole. A text without such a space is encoded whole.
+Why a boundary is safe. The model turns a space into U+2581 and puts one more U+2581 before each text. A merge makes a
+piece of the vocabulary, so nothing is ever joined over two neighbouring characters that no piece has next to each other.
+
+* At a space: no piece holds U+2581 after another character (checked when the model is loaded). Cutting at one space between
+  two characters that are neither space nor U+2581, and dropping that space (the mark before the next segment stands for
+  it), leaves all merges as they were.
+* Elsewhere, as in scripts without spaces, before a character that no piece has after the one before it, nor after U+2581: the mark
+  before the next segment stays a token of its own, and is taken off its count. This needs bytes as tokens for unknown characters.
+
+If a vocabulary fails these checks, texts are encoded whole, as are stretches that have no such boundary.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; rows are never merged or dropped.
 """
@@ -30,7 +35,7 @@ MARK = "▁"
 
 @functools.lru_cache(maxsize=2)
 def _model(path: str):
-    """The processor, and whether its texts may be cut."""
+    """The processor, whether its texts may be cut at spaces, and the neighbours that pieces have (None: no other cuts)."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -42,26 +47,36 @@ def _model(path: str):
     plain = n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not n.precompiled_charsmap
     inner = re.compile(f"[^{MARK}]{MARK}")
     whole = any(inner.search(p.piece) for p in spec.pieces)
-    return sp, bool(plain and not whole and not spec.trainer_spec.treat_whitespace_as_suffix)
+    cuts = bool(plain and not whole and not spec.trainer_spec.treat_whitespace_as_suffix)
+    merges = spec.trainer_spec.model_type == proto.TrainerSpec.BPE and spec.trainer_spec.byte_fallback
+    beside = {p.piece[i : i + 2] for p in spec.pieces for i in range(len(p.piece) - 1)}
+    return sp, cuts, beside if cuts and merges and any(p.piece == MARK for p in spec.pieces) else None
 
 
-def segments(text: str, size: int) -> Iterator[str]:
-    """text cut at safe spaces into segments of about size characters; the space at each cut is left out."""
-    start, end = 0, len(text)
+def segments(text: str, size: int, beside: set[str] | None = None) -> Iterator[tuple[str, int]]:
+    """text cut at safe boundaries into segments of about size characters, with the tokens that each has too many; the space at a
+    cut is left out."""
+    start, end, extra = 0, len(text), 0
     while end - start > size:
-        cut = text.find(" ", start + size)
-        while cut != -1 and (cut + 1 >= end or text[cut - 1] in (" ", MARK) or text[cut + 1] in (" ", MARK)):
-            cut = text.find(" ", cut + 1)
+        cut, to = -1, -1
+        for at in range(start + size, end - 1):
+            before, here, after = text[at - 1], text[at], text[at + 1]
+            if here == " " and before not in (" ", MARK) and after not in (" ", MARK):
+                cut, to, more = at, at + 1, 0
+                break
+            if beside is not None and here not in (" ", MARK) and before not in (" ", MARK) and before + here not in beside and MARK + here not in beside:
+                cut, to, more = at, at, 1
+                break
         if cut == -1:
             break
-        yield text[start:cut]
-        start = cut + 1
-    yield text[start:]
+        yield text[start:cut], extra
+        start, extra = to, more
+    yield text[start:], extra
 
 
 def count_tokens(texts: list[str | None], path: str, batch_bytes: int = 1 << 20, segment_chars: int = 400) -> list[int]:
-    """Tokens of each text; the tokenizer gets batches of about batch_bytes characters."""
-    sp, cuts = _model(path)
+    """Tokens of each text; the tokenizer gets batches of about batch_bytes bytes."""
+    sp, cuts, beside = _model(path)
     counts, held, owner, weight = [0] * len(texts), [], [], 0
 
     def flush() -> None:
@@ -73,10 +88,11 @@ def count_tokens(texts: list[str | None], path: str, batch_bytes: int = 1 << 20,
     for i, text in enumerate(texts):
         if not text:
             continue
-        for piece in segments(text, segment_chars) if cuts else (text,):
+        for piece, extra in segments(text, segment_chars, beside) if cuts else ((text, 0),):
             held.append(piece)
             owner.append(i)
-            weight += len(piece)
+            counts[i] -= extra
+            weight += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
             if weight >= batch_bytes:
                 flush()
                 weight = 0
