@@ -234,19 +234,28 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
 
 
-def fit(texts: list[str], toxic: list[int], weight: list[float]) -> dict:
-    """Lexicon, trees, and a calibration from margins that each come from trees that have not seen the row."""
+def fit(texts: list[str], toxic: list[int], weight: list[float], folds: int = 3) -> dict:
+    """Lexicon, trees, and a calibration from margins that each come from a lexicon and trees that have not seen the row."""
     if len(set(toxic)) < 2:
         return {"lexicon": frozenset(), "soft": frozenset()}
-    lexicon, soft = learn_lexicon(texts, toxic)
-    tokens = Tokens(lexicon, soft)
-    x, y, w = np.array([features(t, tokens) for t in texts]), np.array(toxic, dtype=float), np.array(weight)
+    y, w = np.array(toxic, dtype=float), np.array(weight)
     w = w / w.mean()
-    fold, out = np.arange(len(x)) % 4, np.zeros(len(x))
-    for k in range(4):
-        own = fold != k
-        out[~own] = margins(boost(x[own], y[own], w[own]), x[~own])
-    return {"lexicon": lexicon, "soft": soft, "trees": boost(x, y, w), "steps": isotonic(out, y, w)}
+
+    def learn(rows: np.ndarray) -> tuple[frozenset, frozenset, np.ndarray, dict]:
+        lexicon, soft = learn_lexicon([texts[i] for i in rows], [toxic[i] for i in rows])
+        tokens = Tokens(lexicon, soft)
+        x = np.array([features(t, tokens) for t in texts])
+        return lexicon, soft, x, boost(x[rows], y[rows], w[rows])
+
+    everything, out = np.arange(len(texts)), np.zeros(len(texts))
+    for k in range(folds):
+        held = everything % folds == k
+        if len(set(y[~held])) < 2:
+            return {"lexicon": frozenset(), "soft": frozenset()}
+        _, _, x, trees = learn(everything[~held])
+        out[held] = margins(trees, x[held])
+    lexicon, soft, _, trees = learn(everything)
+    return {"lexicon": lexicon, "soft": soft, "trees": trees, "steps": isotonic(out, y, w)}
 
 
 def score(texts: list[str | None], model: dict, tokens: Tokens) -> np.ndarray:
