@@ -1,18 +1,20 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
-1. Words per (source, bucket), a bucket being one of 4,096 fixed hash ranges of the id: one pass, combined on the
+1. Words per (source, bucket), a bucket being one of `buckets` (4,096) hash ranges of the id: one pass, combined on the
    map side. Everything up to step 4 works on that table, of at most 4,096 rows a source.
 2. Targets: sources share all words by weight; a target stops at `repeat` times its source, the excess is reshared
    by weight (water filling, as one running sum over sources ordered by limit / weight).
 3. Sources get blocks of `block_words` words by highest quotients target / (2k + 1). A divisor gives all but about
    two blocks a source at once; only the rest are listed and ranked. Sources are cut into shards of about
-   `shard_words` words (4,096 at most), and a source's blocks go to its shards by the same rule.
+   `shard_words` words, and a source's blocks go to its shards by the same rule: first to at most `buckets` of them, and where one of these
+   has more than eight times `shard_words`, from there to as many smaller ones as it takes.
 4. In a shard, documents stand in a seeded order and their words form one stream of blocks (the last one may be
    short). Block j is taken floor(((j + 1) q + u) / n) - floor((j q + u) / n) times, q being the shard's quota, n
    its blocks and u seeded: exactly q blocks, none over `repeat` times, and a document's share needs no list of
    blocks.
 
-No key is hot: buckets spread a source's rows, shards bound what a window holds. Only DataFrame functions.
+No key is hot: buckets spread a source's rows, shards bound what a window holds however large the source is. One task holds one row for each
+source (to put them in order and to fill their targets), no other holds more than a shard or `buckets` rows. Only DataFrame functions.
 
 Defined results: a null text has no words; null is a source of its own, the last; sources without words get target 0;
 rows with one id are ordered by size, and equal rows share what falls on them in any order; an empty table gives an
@@ -77,33 +79,41 @@ def _prefix(x: Column, block_words: int) -> Column:
     return before(j) * block_words + (before(j + 1) - before(j)) * (x - j * block_words)
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block_words: int = 32, shard_words: int = 65536, repeat: int = 3) -> DataFrame:
-    """One row per row of docs: key, source, size, source_size, target, shard, start (its first word in the shard's stream),
-    quota and blocks (of the shard), offset, taken."""
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block_words: int = 32, shard_words: int = 65536, repeat: int = 3, buckets: int = BUCKETS) -> DataFrame:
+    """One row per row of docs: key, source, size, source_size, target, shard and part, start (its first word in the
+    part's stream), quota and blocks (of the part), offset, taken."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("place"),
-    ).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = _targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), repeat)
+    ).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % buckets)
+    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    targets = _targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), repeat)
     targets = targets.withColumn("seats", F.round(F.col("words") / block_words).cast("long"))
     targets = _apportion(targets, [], "target", "seats", ["source_no"], "source_quota")
-    targets = targets.withColumn("shards", F.least(F.lit(BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int"))
-    in_shards = buckets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    in_shards = in_shards.withColumn("shard", F.floor(F.col("bucket") * F.col("shards") / BUCKETS).cast("int"))
+    targets = targets.withColumn("shards", F.least(F.lit(buckets), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+    in_shards = by_bucket.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    in_shards = in_shards.withColumn("shard", F.floor(F.col("bucket") * F.col("shards") / buckets).cast("int"))
     shards = in_shards.groupBy("source", "source_no", "source_quota", "shard").agg(F.sum("bucket_size").alias("shard_size"))
-    shards = _apportion(shards, ["source_no"], "shard_size", "source_quota", ["shard"], "quota")
-    shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_words)).cast("long"))
-    start = F.md5(F.concat(F.lit(f"{seed}:"), F.col("source_no").cast("string"), F.lit(":"), F.col("shard").cast("string")).cast("binary"))
-    shards = shards.withColumn("quota", F.least("quota", F.lit(repeat) * F.col("blocks"))).withColumn("offset", F.conv(F.substring(start, 1, 8), 16, 10).cast("long") % F.col("blocks"))
-    plan = in_shards.select("source", "source_no", "bucket", "shard", "source_size", "target").join(shards.select("source_no", "shard", "quota", "blocks", "offset"), ["source_no", "shard"])
+    shards = _apportion(shards, ["source_no"], "shard_size", "source_quota", ["shard"], "shard_quota")
+    shards = shards.withColumn("n_parts", F.greatest(F.lit(1), F.floor(F.col("shard_size") / (8 * shard_words))).cast("long"))
+    plan = in_shards.select("source", "bucket", "shard", "source_no", "source_size", "target").join(shards.select("source_no", "shard", "shard_size", "shard_quota", "n_parts"), ["source_no", "shard"])
     plan = plan.withColumnsRenamed({"source": "s", "bucket": "b"})
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    stream = Window.partitionBy("source_no", "shard").orderBy("place", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.floor(F.conv(F.substring("place", 4, 8), 16, 10).cast("long") * F.col("n_parts") / F.lit(1 << 32)).cast("long")
+    placed = placed.withColumn("part", F.when(F.col("n_parts") > 1, part).otherwise(0))
+    few = shards.where(F.col("n_parts") == 1)
+    sizes = placed.where(F.col("n_parts") > 1).groupBy("source_no", "shard", "shard_quota", "part").agg(F.sum("size").alias("part_size"))
+    sizes = _apportion(sizes, ["source_no", "shard"], "part_size", "shard_quota", ["part"], "quota").select("source_no", "shard", "part", "part_size", "quota")
+    parts = few.select("source_no", "shard", F.lit(0).cast("long").alias("part"), F.col("shard_size").alias("part_size"), F.col("shard_quota").alias("quota")).unionByName(sizes)
+    parts = parts.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("part_size") / block_words)).cast("long"))
+    name = F.concat(F.lit(f"{seed}:"), F.col("source_no").cast("string"), F.lit(":"), F.col("shard").cast("string"), F.when(F.col("part") > 0, F.concat(F.lit(":"), F.col("part").cast("string"))).otherwise(""))
+    parts = parts.withColumn("quota", F.least("quota", F.lit(repeat) * F.col("blocks"))).withColumn("offset", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("blocks"))
+    placed = placed.join(parts.select("source_no", "shard", "part", "quota", "blocks", "offset"), ["source_no", "shard", "part"])
+    stream = Window.partitionBy("source_no", "shard", "part").orderBy("place", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
     placed = placed.withColumn("taken", (_prefix(F.col("end"), block_words) - _prefix(F.col("start"), block_words)).cast("long"))
-    return placed.select(F.col("key").alias(key), "source", "size", "source_size", "target", "shard", "start", "quota", "blocks", "offset", "taken")
+    return placed.select(F.col("key").alias(key), "source", "size", "source_size", "target", "shard", "part", "start", "quota", "blocks", "offset", "taken")
 
 
 def block_spans(mixed: DataFrame, block_words: int = 32) -> DataFrame:
