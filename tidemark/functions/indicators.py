@@ -158,14 +158,6 @@ def z_score(x: Column | str, n: int = 252) -> Column:
     return div(col(x) - mean(x, n), std(x, n))
 
 
-def expanding_rank(x: Column | str, at_least: int = 60) -> Column:
-    """Average rank of x among the values so far, from 0 to 1."""
-    x = col(x)
-    held = F.collect_list(x).over(so_far())
-    below, same = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-    return F.when(F.size(held) >= at_least, div(below + (same - 1) / 2, F.size(held) - 1))
-
-
 def basic_bundle(df: DataFrame) -> DataFrame:
     """df with the 22 basic columns. Windows come first: the grouped pass then finds each symbol's rows together already."""
     O, H, L, C, V = _bar()  # noqa: E741

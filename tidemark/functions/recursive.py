@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -57,6 +58,34 @@ def _mass(d: pd.DataFrame, n: int, window: int) -> pd.Series:
     return _ratio(once, _ewm(once, n)).rolling(window).sum()
 
 
+def _before(x: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each value how many of those before it are below it, and how many equal it: blocks first, then sorted halves that double."""
+    n = len(x)
+    below, same = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for s in range(0, n, block):
+        own = x[s : s + block]
+        below[s : s + block] += np.tril(own[None] < own[:, None], -1).sum(axis=1)
+        same[s : s + block] += np.tril(own[None] == own[:, None], -1).sum(axis=1)
+    width = block
+    while width < n:
+        for s in range(0, n - width, 2 * width):
+            left, right = np.sort(x[s : s + width]), slice(s + width, s + 2 * width)
+            low, high = np.searchsorted(left, x[right], "left"), np.searchsorted(left, x[right], "right")
+            below[right] += low
+            same[right] += high - low
+        width *= 2
+    return below, same
+
+
+def _expanding_rank(x: pd.Series, at_least: int) -> pd.Series:
+    """Average rank of x among the values so far, from 0 to 1; missing values have none and do not count."""
+    here = x.dropna()
+    below, same = _before(here.to_numpy(float))
+    number = np.arange(1, len(here) + 1)
+    rank = pd.Series((below + same / 2) / np.maximum(number - 1, 1), index=here.index)
+    return rank.where(number >= max(at_least, 2)).reindex(x.index)
+
+
 #: Recursive indicators: names of their columns, and a function of a symbol's rows and the parameters.
 RECURSIVE: dict[str, tuple[Callable, Callable]] = {
     "ema": (lambda n: [f"ema_{n}"], lambda d, n: {f"ema_{n}": _ewm(d.close, n, n)}),
@@ -66,6 +95,7 @@ RECURSIVE: dict[str, tuple[Callable, Callable]] = {
     "adx": (lambda n=14: [f"adx_{n}"], lambda d, n=14: {f"adx_{n}": _adx(d, n)}),
     "keltner": (lambda *a: ["keltner_upper", "keltner_middle", "keltner_lower"], lambda d, n=20, atr=10, k=2.0: _keltner(d, n, atr, k)),
     "chaikin": (lambda *a: ["chaikin_volatility"], lambda d, n=10, roc=10: {"chaikin_volatility": _chaikin(d, n, roc)}),
+    "expanding_rank": (lambda column="close", *a: ["expanding_rank"], lambda d, column="close", at_least=60: {"expanding_rank": _expanding_rank(d[column], at_least)}),
     "mass": (lambda *a: ["mass_index"], lambda d, n=9, window=25: {"mass_index": _mass(d, n, window)}),
 }
 

@@ -38,16 +38,16 @@ def by_regime(run: DataFrame, labelled: DataFrame) -> DataFrame:
     """Figures of the returns in each regime; regimes without rows do not appear."""
     rows = run.join(labelled.select("symbol", "ts", "regime"), ["symbol", "ts"])
     inside = Window.partitionBy(*KEY, "regime").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_eq", F.exp(F.sum(F.log1p("ret")).over(inside))).withColumn("_dd", div("_eq", F.max("_eq").over(inside)) - 1)
+    rows = rows.withColumn("_eq", F.product(1 + F.col("ret")).over(inside)).withColumn("_dd", div("_eq", F.max("_eq").over(inside)) - 1)
     return rows.groupBy(*KEY, "regime").agg(
-        F.count(F.lit(1)).alias("days"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total_return"), F.avg("ret").alias("mean_return"),
+        F.count(F.lit(1)).alias("days"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), F.avg("ret").alias("mean_return"),
         F.coalesce(div(F.avg("ret"), F.stddev_samp("ret")) * float(YEAR**0.5), F.lit(0.0)).alias("sharpe_ratio"), F.min("_dd").alias("max_drawdown"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
     )
 
 
 def monthly(run: DataFrame) -> DataFrame:
     """Compounded return of each calendar month; months without bars give 0."""
-    months = run.groupBy(*KEY, F.last_day("ts").alias("month")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+    months = run.groupBy(*KEY, F.last_day("ts").alias("month")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     span = months.groupBy(*KEY).agg(F.min("month").alias("a"), F.max("month").alias("b"))
     first = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))
     calendar = span.select(*KEY, F.explode(first).alias("month")).withColumn("month", F.last_day("month"))
@@ -55,7 +55,7 @@ def monthly(run: DataFrame) -> DataFrame:
 
 
 def yearly(run: DataFrame) -> DataFrame:
-    return run.groupBy(*KEY, F.year("ts").alias("year")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+    return run.groupBy(*KEY, F.year("ts").alias("year")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
 
 
 def best_and_worst(run: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidemark.functions.core import YEAR, div
+from tidemark.functions.core import YEAR, div, mean
 from tidemark.plans.strategy import Strategy, signals
 
 KEY = ["strategy_id", "symbol"]
@@ -75,7 +75,7 @@ def returns(positioned: DataFrame, commission: float = 0.001, slippage: float =
     move = div("close", F.lag("close").over(by_key())) - 1
     cost = F.coalesce(F.abs(F.col("position") - before), F.lit(0)) * (commission + slippage)
     out = positioned.withColumn("held", F.coalesce(before, F.lit(0)).cast("double")).withColumn("ret", F.coalesce(before * move, F.lit(0.0)) - cost)
-    return out.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(key_so_far())))
+    return out.withColumn("equity", capital * F.product(1 + F.col("ret")).over(key_so_far()))
 
 
 def backtest(bars: DataFrame, strategies: list[Strategy], **costs) -> DataFrame:
@@ -101,7 +101,7 @@ def metrics(run: DataFrame, risk_free: float = 0.0, days: int = YEAR) -> DataFra
     longest = run.where(F.col("drawdown") < 0).groupBy(*KEY, "run_id").count().groupBy(*KEY).agg(F.max("count").alias("max_drawdown_duration"))
     started = F.when(F.col("held") > F.coalesce(F.lag("held").over(by_key()), F.lit(0.0)), 1)
     base = run.withColumn("started", started).groupBy(*KEY).agg(
-        F.count("ret").alias("trading_days"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total_return"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"),
+        F.count("ret").alias("trading_days"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"),
         F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.percentile("ret", F.lit(0.05)).alias("p5"),
         F.skewness("ret").alias("skewness"), F.kurtosis("ret").alias("kurtosis"), F.count("started").alias("num_trades"),
     )
@@ -178,6 +178,19 @@ def trade_statistics(rows: DataFrame) -> DataFrame:
     return out.fillna(0, ["max_consecutive_wins", "max_consecutive_losses"])
 
 
+def trade_summary(rows: DataFrame) -> DataFrame:
+    """The short form of trades(): number, share of winners, mean return, sum, and mean days held."""
+    return rows.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("num_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.avg("pnl_pct").alias("avg_return"), F.sum("pnl").alias("total_pnl"), F.avg("duration").alias("avg_holding_days")
+    )
+
+
+def simple_signal(bars: DataFrame, fast: int = 20, slow: int = 50, margin: float = 0.01) -> DataFrame:
+    """bars with signal: 1 or -1 where the fast mean is above or below the slow one by more than a margin, 0 else and before `slow` bars."""
+    a, b = mean("close", fast), mean("close", slow)
+    return bars.withColumn("signal", F.when(a > b * (1 + margin), 1).when(a < b * (1 - margin), -1).otherwise(0))
+
+
 # ---- the detailed run: cash, shares and sizing -----------------------------------------------------------------------------
 def position_size(value: float, volatility: float | None, method: str = "fixed", cap: float = 0.1, target: float = 0.15) -> float:
     """Money to put into a position: a capped share of the portfolio, less of it when volatility is above target."""

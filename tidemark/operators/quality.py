@@ -3,85 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import by_symbol, change, lag
+from tidemark.functions.core import by_symbol, change, div, lag
 
 PRICES = ("open", "high", "low", "close")
 
 
-def _issues(rows: DataFrame, check: str, severity: str, message: str, value: Column | str, most: int = 10) -> DataFrame:
-    """The first rows of each symbol as issues."""
-    rows = rows.select("symbol", "ts", (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"))
-    first = Window.partitionBy("symbol").orderBy("ts", "value")
-    rows = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
-    return rows.select(F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), "symbol", F.col("ts").cast("date").alias("date"), "value")
-
-
-def bad_ohlc(df: DataFrame) -> DataFrame:
+def bad_ohlc_condition() -> Column:
     o, h, l, c = (F.col(p) for p in PRICES)  # noqa: E741
-    return df.where((h < l) | (h < o) | (h < c) | (l > o) | (l > c))
-
-
-def duplicates(df: DataFrame) -> DataFrame:
-    again = df.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "ts").orderBy("close", "volume"))).where(F.col("_r") > 1)
-    return _issues(again, "duplicate_timestamps", "CRITICAL", "time appears again", "_r")
-
-
-def disorder(df: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
-    """Needs the column that says in which order rows came in."""
-    if sequence not in df.columns:
-        return _issues(df.where(F.lit(False)), "temporal_ordering", "CRITICAL", "time goes back", F.lit(0.0))
-    back = df.withColumn("_p", F.lag("ts").over(Window.partitionBy("symbol").orderBy(sequence))).where(F.col("_p") > F.col("ts"))
-    return _issues(back, "temporal_ordering", "CRITICAL", "time goes back", sequence)
-
-
-def ohlc(df: DataFrame) -> DataFrame:
-    return _issues(bad_ohlc(df), "ohlc_consistency", "ERROR", "prices contradict each other", "close")
-
-
-def missing(df: DataFrame) -> DataFrame:
-    gone = sum((F.col(c).isNull().cast("int") for c in (*PRICES, "volume")), F.lit(0))
-    return _issues(df.withColumn("_m", gone).where(F.col("_m") > 0), "missing_data", "WARNING", "values are missing", "_m")
-
-
-def price_moves(df: DataFrame, most: float = 0.5) -> DataFrame:
-    return _issues(df.withColumn("_x", change("close")).where(F.abs("_x") > most), "price_sanity", "WARNING", "price moved by more than half", "_x")
-
-
-def volume_spikes(df: DataFrame, times: float = 10.0) -> DataFrame:
-    usual = df.groupBy("symbol").agg(F.median("volume").alias("_u"))
-    spikes = df.join(usual, "symbol").where(F.col("volume") > times * F.col("_u"))
-    return _issues(spikes, "volume_sanity", "INFO", "volume is far above its median", "volume", 5)
-
-
-def gaps(df: DataFrame, times: float = 5.0) -> DataFrame:
-    spaced = df.withColumn("_g", F.unix_timestamp("ts") - F.unix_timestamp(lag("ts")))
-    usual = spaced.groupBy("symbol").agg(F.median("_g").alias("_u"))
-    return _issues(spaced.join(usual, "symbol").where(F.col("_g") > times * F.col("_u")), "large_gaps", "WARNING", "rows are far apart", F.col("_g") / 86400, 5)
-
-
-def zero_prices(df: DataFrame) -> DataFrame:
-    zero = F.array_contains(F.array(*[F.coalesce(F.col(p) == 0, F.lit(False)) for p in PRICES]), True)
-    return _issues(df.where(zero), "zero_prices", "ERROR", "a price is zero", "close")
+    return (h < l) | (h < o) | (h < c) | (l > o) | (l > c)
 
 
-def negatives(df: DataFrame) -> DataFrame:
-    least = F.least(*[F.col(c) for c in (*PRICES, "volume")])
-    return _issues(df.withColumn("_n", least).where(F.col("_n") < 0), "negative_values", "CRITICAL", "a value is negative", "_n")
+def bad_ohlc(df: DataFrame) -> DataFrame:
+    return df.where(bad_ohlc_condition())
 
 
-CHECKS: tuple[Callable[[DataFrame], DataFrame], ...] = (duplicates, disorder, ohlc, missing, price_moves, volume_spikes, gaps, zero_prices, negatives)
+@dataclass(frozen=True)
+class Check:
+    """A check of rows: where it fires, the value it reports, and how many rows of a symbol it reports at most.
 
+    Conditions see the row and the columns that _facts() adds.
+    """
 
-def issues(df: DataFrame) -> DataFrame:
-    """All checks at once."""
-    out = CHECKS[0](df)
-    for check in CHECKS[1:]:
-        out = out.unionByName(check(df))
-    return out
+    name: str
+    severity: str
+    message: str
+    when: Callable[[], Column]
+    value: Callable[[], Column]
+    most: int = 10
+
+
+def _facts(df: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
+    """df with what the checks compare: the copy's number of a time, the time before in order of arrival, moves, gaps and medians."""
+    whole = Window.partitionBy("symbol")
+    arrived = F.lag("ts").over(whole.orderBy(sequence)) if sequence in df.columns else F.lit(None).cast("timestamp")
+    out = df.withColumn("_copy", F.row_number().over(Window.partitionBy("symbol", "ts").orderBy("close", "volume"))).withColumn("_came_after", arrived)
+    out = out.withColumn("_sequence", F.col(sequence).cast("double") if sequence in df.columns else F.lit(0.0))
+    out = out.withColumn("_move", change("close")).withColumn("_gap", F.unix_timestamp("ts") - F.unix_timestamp(lag("ts")))
+    return out.withColumn("_usual_gap", F.median("_gap").over(whole)).withColumn("_usual_volume", F.median("volume").over(whole))
+
+
+def checks(most_move: float = 0.5, volume_times: float = 10.0, gap_times: float = 5.0) -> tuple[Check, ...]:
+    col = lambda name: lambda: F.col(name)
+    gone = lambda: sum((F.col(c).isNull().cast("int") for c in (*PRICES, "volume")), F.lit(0))
+    least = lambda: F.least(*[F.col(c) for c in (*PRICES, "volume")])
+    ratio = lambda: F.col("volume") / F.when(F.col("_usual_volume") != 0, F.col("_usual_volume"))
+    return (
+        Check("duplicate_timestamps", "CRITICAL", "time appears again", lambda: F.col("_copy") > 1, col("_copy")),
+        Check("temporal_ordering", "CRITICAL", "time goes back", lambda: F.col("_came_after") > F.col("ts"), col("_sequence")),
+        Check("ohlc_consistency", "ERROR", "prices contradict each other", bad_ohlc_condition, col("close")),
+        Check("missing_data", "WARNING", "values are missing", lambda: gone() > 0, gone),
+        Check("price_sanity", "WARNING", "price moved by more than half (per cent)", lambda: F.abs("_move") > most_move, lambda: F.col("_move") * 100),
+        Check("volume_sanity", "INFO", "volume is a multiple of its median", lambda: ratio() > volume_times, ratio, 5),
+        Check("large_gaps", "WARNING", "rows are far apart (days)", lambda: F.col("_gap") > gap_times * F.col("_usual_gap"), lambda: F.col("_gap") / 86400, 5),
+        Check("zero_prices", "ERROR", "a price is zero", lambda: sum((F.coalesce((F.col(p) == 0).cast("int"), F.lit(0)) for p in PRICES), F.lit(0)) > 0, col("close")),
+        Check("negative_values", "CRITICAL", "a value is negative", lambda: least() < 0, least),
+    )
+
+
+def issues(df: DataFrame, wanted: tuple[Check, ...] | None = None) -> DataFrame:
+    """All checks in one pass: check_name, severity, message, symbol, date, value of the first rows of each symbol that each check finds."""
+    wanted = checks() if wanted is None else wanted
+    found = [F.when(c.when(), F.struct(F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity"), F.lit(c.message).alias("message"), F.lit(c.most).alias("most"), c.value().cast("double").alias("value"))) for c in wanted]
+    rows = _facts(df).select("symbol", "ts", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("symbol", "ts", "i.*")
+    first = Window.partitionBy("symbol", "check_name").orderBy("ts", "value")
+    rows = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("most"))
+    return rows.select("check_name", "severity", "message", "symbol", F.col("ts").cast("date").alias("date"), "value")
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -102,18 +93,32 @@ def require_quality(df: DataFrame, allow_warnings: bool = True) -> DataFrame:
 def lookahead(df: DataFrame, feature: Callable[[DataFrame], DataFrame], column: str, prefixes: tuple[int, ...] = (), tolerance: float = 1e-6) -> DataFrame:
     """Rows where a feature on a prefix differs from the same row on all data; none for a causal feature.
 
-    feature adds `column`. The prefixes are half the rows of each symbol and the given numbers of rows; the rows compared are the
-    last of the half and the tenth of the others. A value that is missing on one side only is passed over.
+    feature adds `column`. The prefixes are half the rows of each symbol and the given numbers of rows; all their rows are compared. A
+    value on one side that is missing on the other is a difference: the prefix holds the whole past of its rows.
     """
     by = Window.partitionBy("symbol")
     numbered = df.withColumn("_n", F.row_number().over(by_symbol())).withColumn("_half", F.floor(F.count(F.lit(1)).over(by) / 2))
-    whole = feature(numbered).select("symbol", "ts", F.col(column).alias("_whole"))
+    whole = feature(numbered).select("symbol", "ts", F.col(column).cast("double").alias("_whole"))
     found = None
-    for cut, at in ((F.col("_half"), F.col("_half")), *((F.lit(p), F.lit(min(p, 10))) for p in prefixes)):
-        part = feature(numbered.where(F.col("_n") <= cut)).where(F.col("_n") == at).select("symbol", "ts", F.col(column).alias("_part"))
-        rows = part.join(whole, ["symbol", "ts"]).where(F.abs(F.col("_part") - F.col("_whole")) > tolerance)
+    for cut in (F.col("_half"), *map(F.lit, prefixes)):
+        part = feature(numbered.where(F.col("_n") <= cut)).select("symbol", "ts", F.col(column).cast("double").alias("_part"), F.max("_n").over(by).alias("prefix_rows"))
+        apart = F.coalesce(F.abs(F.col("_part") - F.col("_whole")) > tolerance, F.col("_part").isNull() != F.col("_whole").isNull())
+        rows = part.join(whole, ["symbol", "ts"]).where(apart)
         found = rows if found is None else found.unionByName(rows)
-    return found.select("symbol", "ts", F.col("_part").alias("prefix_value"), F.col("_whole").alias("full_value"))
+    return found.select("symbol", F.col("prefix_rows").cast("int"), "ts", F.col("_part").alias("prefix_value"), F.col("_whole").alias("full_value"))
+
+
+def feature_rules(column: str = "close", n: int = 20) -> dict[str, tuple[bool, Column]]:
+    """Pairs of features by name: whether it is causal, and its column over by_symbol(). The second of each pair looks ahead."""
+    w, everything = by_symbol(), Window.partitionBy("symbol")
+    trailing, centred = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-(n // 2), (n - 1) // 2)
+    z = lambda over: div(F.col(column) - F.avg(column).over(over), F.stddev_samp(column).over(over))
+    return {
+        "rolling_mean": (True, F.avg(column).over(trailing)), "centred_mean": (False, F.avg(column).over(centred)),
+        "expanding_mean": (True, F.avg(column).over(w.rowsBetween(Window.unboundedPreceding, 0))), "full_mean": (False, F.avg(column).over(everything)),
+        "lag": (True, F.lag(column).over(w)), "lead": (False, F.lead(column).over(w)),
+        "rolling_z_score": (True, z(trailing)), "full_z_score": (False, z(everything)),
+    }
 
 
 def require_causal(df: DataFrame, feature: Callable[[DataFrame], DataFrame], column: str) -> None:
@@ -126,20 +131,32 @@ def require_causal(df: DataFrame, feature: Callable[[DataFrame], DataFrame], col
 CANARIES = (
     ("2020-11-07", "Who won the United States presidential election of 2020?", "Joe Biden"),
     ("2021-08-08", "Which country won most gold medals at the Tokyo Olympics?", "United States"),
+    ("2022-02-24", "On which day did the Russian invasion of Ukraine begin?", "February 24, 2022"),
     ("2022-12-18", "Which team won the football World Cup in Qatar?", "Argentina"),
     ("2023-03-10", "Which large Californian bank failed in March 2023?", "Silicon Valley Bank"),
 )
 
 
 def knows_future(response: str, answer: str) -> bool:
-    """Whether half or more of the answer's longer words are in the response."""
-    words = [w for w in answer.lower().split() if len(w) > 3]
-    return bool(words) and sum(w in response.lower() for w in words) * 2 >= len(words)
+    """Whether the response has as many of the answer's words of more than three letters as half of all its words."""
+    words = answer.lower().split()
+    return bool(words) and sum(len(w) > 3 and w in response.lower() for w in words) * 2 >= len(words)
+
+
+def isolation(ask: Callable[[str], str], cutoff: str, canaries=CANARIES) -> list[dict]:
+    """For each question about what happened after the cutoff: what the model says, and whether it knows."""
+    return [{"day": day, "question": q, "response": (said := ask(q)), "leaks": knows_future(said, answer)} for day, q, answer in canaries if day > cutoff]
+
+
+def mock_model(known_until: str, canaries=CANARIES) -> Callable[[str], str]:
+    """A stand-in for a model: it answers what happened up to a day, and says of the rest that it does not know."""
+    known = {q: answer for day, q, answer in canaries if day <= known_until}
+    return lambda question: known.get(question, "I do not know.")
 
 
 def leaking_canaries(ask: Callable[[str], str], cutoff: str, canaries=CANARIES) -> list[str]:
     """Questions about what happened after the cutoff that a model answers."""
-    return [q for day, q, answer in canaries if day > cutoff and knows_future(ask(q), answer)]
+    return [x["question"] for x in isolation(ask, cutoff, canaries) if x["leaks"]]
 
 
 def require_temporal_safety(ask: Callable[[str], str], cutoff: str) -> None:
@@ -159,3 +176,23 @@ def text_feature(df: DataFrame, score: Callable, text: str, ts: str, cutoff: str
         return texts.map(score).astype(float)
 
     return df.withColumn(name, scored(text))
+
+
+def text_events(df: DataFrame, extract: Callable[[str], tuple[str, float]], text: str, ts: str, cutoff: str) -> DataFrame:
+    """df with event_type and confidence that a model finds in a text column, by Arrow batches; null texts have the event `none`."""
+    import pandas as pd
+
+    if df.where(F.col(ts) > F.lit(cutoff).cast("timestamp")).take(1):
+        raise ValueError(f"texts are later than the model's cutoff {cutoff}")
+
+    @F.pandas_udf("event_type string, confidence double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([("none", 0.0) if t is None else extract(t) for t in texts], columns=["event_type", "confidence"])
+
+    return df.withColumn("_event", found(text)).select("*", "_event.event_type", "_event.confidence").drop("_event")
+
+
+def require_text_feature(df: DataFrame, feature: Callable[[DataFrame], DataFrame], ask: Callable[[str], str], ts: str, cutoff: str) -> DataFrame:
+    """feature(df), if the model behind it knows nothing of what came after its cutoff."""
+    require_temporal_safety(ask, cutoff)
+    return feature(df)

@@ -21,39 +21,64 @@ from tidemark.operators.backtest import backtest, halves, metrics
 from tidemark.plans import dsl
 from tidemark.plans.dsl import Node
 from tidemark.plans.strategy import Strategy
+from tidemark.sources.store import stored
 
 OBJECTIVES = ("sharpe", "drawdown", "turnover", "simplicity")
 
 
 # ---- fronts ----------------------------------------------------------------------------------------------------------------
-def pareto_front(df: DataFrame, objectives: list[str], key: str = "id") -> DataFrame:
+def pareto_front(df: DataFrame, objectives: list[str], key: str = "id", most_broadcast: int = 20_000) -> DataFrame:
     """Rows that no other row beats in one objective without losing in another (more is better).
 
-    Rows are compared in blocks: each partition's own front first (a row off it is off the whole front), then the fronts of
-    the partitions, which are small, with each other by an anti join.
+    Each partition's own front comes first (a row off it is off the whole front). While the partitions' fronts have at most `most_broadcast`
+    rows, they are broadcast and every partition drops what they beat. Larger ones, as opposed objectives give, are dealt by ranges of the
+    first objective and meet each other block by block: a row can only be beaten from its own range or a higher one.
     """
     import pandas as pd
 
+    def front_of(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[~_beaten(rows[objectives].to_numpy(float))]
+
     def local(batches):
         front = None
         for rows in batches:
             rows = rows if front is None else pd.concat([front, rows])
-            front = rows[~_beaten(rows[objectives].to_numpy(float))]
+            front = front_of(rows)
         if front is not None:
             yield front
 
-    candidates = df.mapInPandas(local, df.schema)
-    other = candidates.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
-    no_worse, better = F.lit(True), F.lit(False)
-    for o in objectives:
-        no_worse, better = no_worse & (F.col(f"_{o}") >= F.col(o)), better | (F.col(f"_{o}") > F.col(o))
-    return candidates.join(other, no_worse & better, "left_anti")
+    candidates = stored(df.mapInPandas(local, df.schema), "fronts")
+    others = candidates.select(*[F.col(o).cast("double") for o in objectives]).distinct()
+    n = others.count()
+    if n <= most_broadcast:
+        held = df.sparkSession.sparkContext.broadcast(others.toPandas().to_numpy(float).reshape(n, len(objectives)))
+
+        def keep(batches):
+            for rows in batches:
+                yield rows[~_beaten(rows[objectives].to_numpy(float), held.value)]
+
+        return candidates.mapInPandas(keep, df.schema)
+    n_blocks = -(-n // most_broadcast)
+    edges = F.array(*[F.lit(float(e)) for e in others.approxQuantile(objectives[0], [i / n_blocks for i in range(1, n_blocks)], 0.001)])
+    block = lambda c: F.size(F.filter(edges, lambda e: F.col(c).cast("double") >= e))
+    tagged = candidates.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", block(objectives[0]))
+    tagged = stored(tagged, "front-blocks")
+    asking = tagged.select("_row", F.explode(F.sequence("_block", F.lit(n_blocks - 1))).alias("_block"), F.pmod("_row", F.lit(n_blocks)).cast("int").alias("_part"), F.lit(True).alias("_asks"), *[F.col(o).cast("double") for o in objectives])
+    there = others.select(F.lit(-1).cast("long").alias("_row"), block(objectives[0]).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_part"), F.lit(False).alias("_asks"), *objectives)
+
+    def beaten(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["_asks"]]
+        return own.loc[_beaten(own[objectives].to_numpy(float), rows.loc[~rows["_asks"], objectives].to_numpy(float)), ["_row"]]
 
+    gone = asking.unionByName(there).groupBy("_block", "_part").applyInPandas(beaten, "_row long").distinct()
+    return tagged.join(gone, "_row", "left_anti").select(*df.columns)
 
-def _beaten(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), dtype=bool)
+
+def _beaten(x: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """Whether each row of x is beaten by a row of `by` (of x itself, if not given)."""
+    out, by = np.zeros(len(x), dtype=bool), x if by is None else by
     for i in range(len(x)):
-        out[i] = ((x >= x[i]).all(axis=1) & (x > x[i]).any(axis=1)).any()
+        out[i] = ((by >= x[i]).all(axis=1) & (by > x[i]).any(axis=1)).any()
     return out
 
 
@@ -158,6 +183,14 @@ def formula_fitness(bars: DataFrame, trees: list[Node], cost: float = 0.001, bat
     return out
 
 
+def selection_pbo(fitness: DataFrame) -> DataFrame:
+    """Probability that the choice of the best formula on the train segment is overfitted, from rows of formula_fitness(): one choice."""
+    from tidemark.operators.validation import pbo
+
+    wide = fitness.groupBy("tree_id").agg(F.max(F.when(F.col("segment") == "train", F.col("sharpe"))).alias("in_sample"), F.max(F.when(F.col("segment") == "test", F.col("sharpe"))).alias("out_sample"))
+    return pbo(wide.na.drop().select(F.lit(0).alias("combo_id"), F.col("tree_id").alias("strategy_id"), "in_sample", "out_sample"))
+
+
 # ---- variation -------------------------------------------------------------------------------------------------------------
 def crossover(a: Node, b: Node, rng: random.Random) -> tuple[Node, Node]:
     """Both trees with one subtree of the same type exchanged; unchanged if there is none."""

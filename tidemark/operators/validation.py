@@ -3,7 +3,9 @@ superior predictive ability, stress tests, walk-forward analysis, and the gates
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import YEAR, by_symbol, change, div
 from tidemark.operators.backtest import KEY, backtest, metrics, sharpe
 from tidemark.plans.strategy import Strategy
+from tidemark.sources.store import stored
 
 NORMAL = NormalDist()
 EULER = 0.5772156649015329
@@ -42,7 +45,8 @@ def sharpe_error(value: float, n: int, skew: float = 0.0, kurtosis: float = 3.0)
 
 def deflated_sharpe(value: float, trials: int, n: int, skew: float = 0.0, kurtosis: float = 3.0) -> float:
     """Chance that the ratio is better than the best of `trials` worthless ones."""
-    return NORMAL.cdf((value - expected_max_sharpe(trials)) / sharpe_error(value, n, skew, kurtosis))
+    z = (value - expected_max_sharpe(trials)) / sharpe_error(value, n, skew, kurtosis)
+    return math.erfc(-z / math.sqrt(2)) / 2  # exact in the tails too
 
 
 def deflated_sharpes(run: DataFrame, trials: int, days: int = YEAR) -> DataFrame:
@@ -100,31 +104,44 @@ def cpcv_summary(found: DataFrame) -> DataFrame:
     )
 
 
-def cpcv_exact(bars: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], float], n: int = 16, k: int = 8, most: int = 100, embargo: float = 0.02, seed: int = 42) -> DataFrame:
-    """score(train, test) for each choice, on the rows themselves, one choice and symbol a task; bars next to a test fold are purged."""
+def cpcv_exact(bars: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], float], n: int = 16, k: int = 8, most: int | None = None, embargo: float = 0.02, seed: int = 42, at_once: int = 200) -> DataFrame:
+    """score(train, test) for each choice (or a seeded sample of `most` of them), on the rows themselves; bars next to a test fold are purged.
+
+    A symbol's rows go to one task once, and all choices are scored there, `at_once` of them in a task.
+    """
     numbered = folds(bars, n)
     edge = Window.partitionBy("symbol", "fold")
     numbered = numbered.withColumn("_i", F.row_number().over(edge.orderBy("ts")) - 1).withColumn("_n", F.count(F.lit(1)).over(edge))
-    masks = combinations(bars.sparkSession, n, k, most, seed)
-    both = numbered.join(F.broadcast(masks))
+    parts = [(c, m) for c, m in _choices(n, k, most, seed)]
+    groups = [parts[i : i + at_once] for i in range(0, len(parts), at_once)]
+    both = numbered.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts", kind="stable")
-        mask = int(rows["mask"].iloc[0])
-        test = rows["fold"].map(lambda f: mask >> (f - 1) & 1).astype(bool)
-        margin = (rows["_n"] * embargo).astype(int).clip(lower=1)
-        after = rows["fold"].map(lambda f: f > 1 and mask >> (f - 2) & 1).astype(bool) & (rows["_i"] < margin)
-        before = rows["fold"].map(lambda f: f < n and mask >> f & 1).astype(bool) & (rows["_i"] >= rows["_n"] - margin)
-        value = score(rows[~test & ~after & ~before], rows[test])
-        return pd.DataFrame({"symbol": [rows["symbol"].iloc[0]], "combo_id": [int(rows["combo_id"].iloc[0])], "sharpe": [float(value)]})
+        fold, place, size = (rows[c].to_numpy() for c in ("fold", "_i", "_n"))
+        margin = np.maximum((size * embargo).astype(int), 1)
+        out = []
+        for combo, mask in groups[int(rows["_g"].iloc[0])]:
+            chosen = np.array([False, *(bool(mask >> f & 1) for f in range(n)), False])
+            test = chosen[fold]
+            purged = chosen[fold - 1] & (place < margin) | chosen[fold + 1] & (place >= size - margin)
+            out.append((rows["symbol"].iloc[0], combo, mask, float(score(rows[~test & ~purged], rows[test]))))
+        return pd.DataFrame(out, columns=["symbol", "combo_id", "mask", "sharpe"])
+
+    return both.groupBy("symbol", "_g").applyInPandas(run, "symbol string, combo_id int, mask int, sharpe double").where(~F.isnan("sharpe"))
 
-    return both.groupBy("symbol", "combo_id").applyInPandas(run, "symbol string, combo_id int, sharpe double").where(~F.isnan("sharpe"))
+
+def _choices(n: int, k: int, most: int | None, seed: int) -> list[tuple[int, int]]:
+    """(combo_id, mask) of each choice of k of n folds by mask, or of a seeded sample of `most` of them."""
+    masks = sorted(sum(1 << f for f in c) for c in itertools.combinations(range(n), k))
+    numbered = list(enumerate(masks, 1))
+    return numbered if most is None or most >= len(masks) else sorted(random.Random(seed).sample(numbered, most))
 
 
 # ---- probability of overfitting --------------------------------------------------------------------------------------------
 def pbo(performance: DataFrame) -> DataFrame:
     """performance: combo_id, strategy_id, in_sample, out_sample. The share of choices whose best strategy in sample ranks in the
-    lower half out of sample, the mean logit of its rank, and the rank correlation over all."""
+    lower half out of sample, that share's logit (infinite at 0 and 1), the mean logit of the rank, and the rank correlation over all."""
     by = Window.partitionBy("combo_id")
 
     def ranked(x: str) -> Column:
@@ -136,7 +153,9 @@ def pbo(performance: DataFrame) -> DataFrame:
     best = rows.groupBy("combo_id").agg(F.max_by("_r", F.struct("in_sample", -F.hash("strategy_id"))).alias("rank"), F.first("_n").alias("n"))
     place = 1 - F.col("rank") / (F.col("n") + 1)
     figures = best.agg(F.avg((F.col("rank") > F.col("n") / 2).cast("double")).alias("pbo"), F.avg(F.log(place / (1 - place))).alias("mean_logit"), F.count(F.lit(1)).alias("combinations"))
-    return figures.join(rows.agg(F.corr("_i", "_r").alias("rank_correlation")))
+    logit = F.when(F.col("pbo") <= 0, float("-inf")).when(F.col("pbo") >= 1, float("inf")).otherwise(F.log(div("pbo", 1 - F.col("pbo"))))
+    # both sides are one row
+    return figures.withColumn("logit", logit).crossJoin(F.broadcast(rows.agg(F.corr("_i", "_r").alias("rank_correlation"))))
 
 
 def pbo_windows(ratios: DataFrame, inside: int, outside: int) -> DataFrame:
@@ -211,22 +230,40 @@ def _long_run_variance(d: np.ndarray, block: float) -> float:
 # ---- stress ----------------------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Scenario:
-    """A stretch of time, or a transformation of the bars, with the least ratio and the deepest drawdown that pass."""
+    """A stretch of time, a transformation that transformed() knows, or one of your own (bars to bars, by symbol), with the least ratio and
+    the deepest drawdown that pass."""
 
     name: str
     kind: str = "period"
     start: str | None = None
     end: str | None = None
-    min_sharpe: float = -1.0
-    max_drawdown: float = 0.4
+    min_sharpe: float = 0.0
+    max_drawdown: float = 0.5
+    transform: Callable[[DataFrame], DataFrame] | None = None
+
+    def of(self, bars: DataFrame) -> DataFrame:
+        if self.transform is not None:
+            return self.transform(bars)
+        if self.kind != "period":
+            return transformed(bars, self.kind)
+        return bars.where((F.col("ts") >= F.lit(self.start).cast("timestamp")) & (F.col("ts") < F.lit(self.end).cast("timestamp") + F.expr("interval 1 day")))
 
 
-#: Transformations that stress() knows.
+#: Transformations that transformed() knows.
 SYNTHETIC = (Scenario("volatility_3x", "volatility_3x"), Scenario("gap_risk", "gap_risk"), Scenario("correlation_spike", "correlation_spike"))
+#: Crises by their dates. Fixed values.
+HISTORICAL = (
+    Scenario("2008_financial_crisis", start="2008-09-01", end="2008-12-31"),
+    Scenario("2020_covid_crash", start="2020-02-19", end="2020-03-23"),
+    Scenario("2022_rate_hikes", start="2022-01-01", end="2022-10-31"),
+)
 
 
 def transformed(bars: DataFrame, kind: str, seed: int = 42) -> DataFrame:
-    """Bars with other closes; high, low and open are rebuilt around them (1 % above and below, and the close before)."""
+    """Bars with other closes; high, low and open are rebuilt around them (1 % above and below, and the close before).
+
+    Prices stay between e^-600 and e^600 of the first one.
+    """
     so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     first = F.first("close").over(so_far)
     ret = F.coalesce(change("close"), F.lit(0.0))
@@ -236,12 +273,13 @@ def transformed(bars: DataFrame, kind: str, seed: int = 42) -> DataFrame:
     elif kind == "correlation_spike":
         new = F.avg("_r").over(by_symbol().rowsBetween(-2, 0))
     elif kind == "gap_risk":
-        chance = lambda salt: F.pmod(F.xxhash64("symbol", "ts", F.lit(seed + salt)), F.lit(1_000_000)) / 1e6
+        name = lambda salt: F.concat_ws("|", "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(str(seed + salt)))
+        chance = lambda salt: F.conv(F.substring(F.md5(name(salt).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
         new = (1 + F.col("_r")) * (1 + F.when(chance(0) < 0.1, F.when(chance(1) < 0.5, -0.05).otherwise(0.05)).otherwise(0.0)) - 1
     else:
         raise ValueError(f"unknown transformation: {kind}")
     rows = bars.withColumn("_r", ret).withColumn("_n", F.greatest(new, F.lit(-0.95)))
-    rows = rows.withColumn("_f", first).withColumn("close", F.col("_f") * F.exp(F.sum(F.log1p("_n")).over(so_far)))
+    rows = rows.withColumn("_f", first).withColumn("close", F.col("_f") * F.exp(F.greatest(F.lit(-600.0), F.least(F.lit(600.0), F.sum(F.log1p("_n")).over(so_far)))))
     rows = rows.withColumn("high", F.col("close") * 1.01).withColumn("low", F.col("close") * 0.99).withColumn("open", F.coalesce(F.lag("close").over(by_symbol()), "close"))
     return rows.drop("_r", "_n", "_f")
 
@@ -250,8 +288,7 @@ def stress(bars: DataFrame, strategies: list[Strategy], scenarios: list[Scenario
     """One row per scenario, strategy and symbol: sharpe_ratio, max_drawdown, passed. All scenarios are one job."""
     rows = None
     for s in scenarios:
-        part = bars.where((F.col("ts") >= s.start) & (F.col("ts") <= s.end)) if s.kind == "period" else transformed(bars, s.kind)
-        part = part.withColumn("symbol", F.concat(F.col("symbol"), F.lit(f"|{s.name}")))
+        part = s.of(bars).withColumn("symbol", F.concat(F.col("symbol"), F.lit(f"|{s.name}")))
         rows = part if rows is None else rows.unionByName(part)
     found = metrics(backtest(rows, strategies)).select("strategy_id", F.split("symbol", r"\|").alias("_p"), "sharpe_ratio", "max_drawdown")
     limits = bars.sparkSession.createDataFrame([(s.name, s.min_sharpe, s.max_drawdown) for s in scenarios], "scenario string, least double, deepest double")
@@ -295,8 +332,11 @@ def walk_forward_summary(found: DataFrame) -> DataFrame:
 
 # ---- the pipeline ----------------------------------------------------------------------------------------------------------
 def validate(bars: DataFrame, strategies: list[Strategy], trials: int | None = None, run_cpcv: bool = True, scenarios: list[Scenario] | None = None, benchmark: DataFrame | None = None, min_dsr: float = 0.95, min_sharpe: float = 1.0, max_loss: float = 0.05) -> DataFrame:
-    """One row per strategy and symbol with the figures of every component that ran, passed, and auto_accept."""
-    run = backtest(bars, strategies)
+    """One row per strategy and symbol with the figures of every component that ran, passed, and auto_accept.
+
+    The run is worked out once and written to the folder in spark.checkpoint.dir, where all components read it.
+    """
+    run = stored(backtest(bars, strategies).select(*KEY, "ts", "ret"), "validation-run")
     out = deflated_sharpes(run, trials or len(strategies))
     gates, accept = [F.col("dsr") >= min_dsr, F.col("sharpe_ratio") >= min_sharpe], [F.col("dsr") >= 0.98, F.col("sharpe_ratio") >= 1.5]
     if run_cpcv:

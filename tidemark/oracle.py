@@ -61,7 +61,7 @@ x AS (SELECT *, coalesce(lag(s20) OVER w <= lag(s50) OVER w AND s20 > s50, false
 p AS (SELECT *, coalesce(last_value(CASE WHEN up THEN 1 WHEN down THEN 0 END IGNORE NULLS) OVER {SO_FAR}, 0) AS position FROM x),
 h AS (SELECT *, lag(position) OVER ({EACH}) AS before FROM p),
 run0 AS (SELECT *, CAST(coalesce(before, 0) AS DOUBLE) AS held, coalesce(before * ({RET}), 0.0) - coalesce(abs(position - before), 0) * 0.0015 AS ret FROM h),
-run1 AS (SELECT *, 100000.0 * exp(sum(ln(1 + ret)) OVER {SO_FAR}) AS equity FROM run0),
+run1 AS (SELECT *, 100000.0 * product(1 + ret) OVER {SO_FAR} AS equity FROM run0),
 run2 AS (SELECT *, (equity - max(equity) OVER {SO_FAR}) / max(equity) OVER {SO_FAR} AS drawdown FROM run1),
 run AS (SELECT 'sma_crossover' AS strategy_id, *, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) OVER {SO_FAR} AS run_id FROM run2)"""
 
@@ -200,9 +200,9 @@ def statements() -> dict[str, str]:
         "drawdown": from_run(f"SELECT strategy_id, symbol, {TIME}, {r('drawdown', 'drawdown')} FROM run"),
         "flagship_sma_sharpe": from_run(f"SELECT strategy_id, symbol, {r('coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0)', 'sharpe_ratio')} FROM run GROUP BY ALL"),
         "top_strategies": from_run(f"SELECT strategy_id, symbol, {r('coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0)', 'sharpe_ratio')} FROM run GROUP BY ALL ORDER BY 3 DESC, 2 LIMIT 3"),
-        "yearly_returns": from_run(f"SELECT strategy_id, symbol, CAST(year(ts) AS INTEGER) AS year, {r('exp(sum(ln(1 + ret))) - 1', 'ret')} FROM run GROUP BY ALL"),
+        "yearly_returns": from_run(f"SELECT strategy_id, symbol, CAST(year(ts) AS INTEGER) AS year, {r('product(1 + ret) - 1', 'ret')} FROM run GROUP BY ALL"),
         "monthly_returns": from_run(
-            f""", m AS (SELECT strategy_id, symbol, last_day(ts) AS month, exp(sum(ln(1 + ret))) - 1 AS ret FROM run GROUP BY ALL),
+            f""", m AS (SELECT strategy_id, symbol, last_day(ts) AS month, product(1 + ret) - 1 AS ret FROM run GROUP BY ALL),
             span AS (SELECT strategy_id, symbol, date_trunc('month', min(month)) AS a, date_trunc('month', max(month)) AS b FROM m GROUP BY ALL),
             cal AS (SELECT strategy_id, symbol, last_day(CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS month FROM span)
             SELECT cal.strategy_id, cal.symbol, CAST(cal.month AS VARCHAR) AS month, {r("coalesce(m.ret, 0)", "ret")} FROM cal LEFT JOIN m ON cal.symbol = m.symbol AND cal.month = m.month"""
@@ -241,7 +241,7 @@ def statements() -> dict[str, str]:
     out["metrics"] = from_run(
         f""", longest AS (SELECT symbol, max(c) AS d FROM (SELECT symbol, run_id, count(*) AS c FROM run WHERE drawdown < 0 GROUP BY ALL) GROUP BY symbol),
         st AS (SELECT *, CASE WHEN held > coalesce(lag(held) OVER {w}, 0) THEN 1 END AS started, sum(CASE WHEN held = 0 THEN 1 ELSE 0 END) OVER {SO_FAR} AS trade FROM run),
-        base AS (SELECT symbol, count(ret) AS days, exp(sum(ln(1 + ret))) - 1 AS total, avg(ret) AS m, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS down, abs(min(drawdown)) AS dd, quantile_cont(ret, 0.05) AS p5,
+        base AS (SELECT symbol, count(ret) AS days, product(1 + ret) - 1 AS total, avg(ret) AS m, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS down, abs(min(drawdown)) AS dd, quantile_cont(ret, 0.05) AS p5,
             (avg(ret*ret*ret) - 3 * avg(ret) * avg(ret*ret) + 2 * pow(avg(ret), 3)) / nullif(pow(avg(ret*ret) - pow(avg(ret), 2), 1.5), 0) AS g, kurtosis_pop(ret) AS k, count(started) AS trades FROM st GROUP BY symbol),
         tail AS (SELECT run.symbol, abs(avg(ret)) AS t FROM run JOIN base ON run.symbol = base.symbol WHERE ret <= -abs(p5) GROUP BY run.symbol),
         tr AS (SELECT symbol, trade, product(1 + ret) - 1 AS ret FROM st WHERE held <> 0 GROUP BY ALL),
@@ -298,15 +298,15 @@ def statements() -> dict[str, str]:
     out["regimes"] = f"WITH {BARS}, {regime} SELECT symbol, {TIME}, {r('realized_vol', 'realized_vol')}, {r('historical_vol', 'historical_vol')}, {r('trend_slope', 'trend_slope')}, {r('return_20', 'return_20')}, {r('worst', 'drawdown')}, regime FROM regimes"
     out["regime_attribution"] = from_run(
         f""", {regime}, rr AS (SELECT run.symbol, run.ts, run.ret, regimes.regime FROM run JOIN regimes ON run.symbol = regimes.symbol AND run.ts = regimes.ts),
-        e0 AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS eq FROM rr), e1 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e0)
-        SELECT 'sma_crossover' AS strategy_id, symbol, regime, count(*) AS days, {r("exp(sum(ln(1 + ret))) - 1", "total_return")}, {r("avg(ret)", "mean_return")}, {r("coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0)", "sharpe_ratio")},
+        e0 AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM rr), e1 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e0)
+        SELECT 'sma_crossover' AS strategy_id, symbol, regime, count(*) AS days, {r("product(1 + ret) - 1", "total_return")}, {r("avg(ret)", "mean_return")}, {r("coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0)", "sharpe_ratio")},
             {r("min(dd)", "max_drawdown")}, {r("avg(CAST(ret > 0 AS INT))", "win_rate")} FROM e1 GROUP BY symbol, regime"""
     ).replace("FROM run2) ,", "FROM run2),")
     issue = lambda name, severity, message, rows, value, most: f"""SELECT '{name}' AS check_name, '{severity}' AS severity, '{message}' AS message, symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, {r(value, 'value')} FROM {rows}
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts, {value}) <= {most}"""
     found = f"""g0 AS (SELECT *, {RET} AS mv, (epoch(ts) - epoch(lag(ts) OVER {w})) / 86400 AS gap, median(volume) OVER (PARTITION BY symbol) AS mvol FROM n), g1 AS (SELECT *, median(gap) OVER (PARTITION BY symbol) AS mgap FROM g0),
-        issues AS (({issue("price_sanity", "WARNING", "price moved by more than half", "(SELECT * FROM g1 WHERE abs(mv) > 0.5)", "mv", 10)}) UNION ALL ({issue("volume_sanity", "INFO", "volume is far above its median", "(SELECT * FROM g1 WHERE volume > 10 * mvol)", "volume", 5)})
-        UNION ALL ({issue("large_gaps", "WARNING", "rows are far apart", "(SELECT * FROM g1 WHERE gap > 5 * mgap)", "gap", 5)}))"""
+        issues AS (({issue("price_sanity", "WARNING", "price moved by more than half (per cent)", "(SELECT * FROM g1 WHERE abs(mv) > 0.5)", "mv * 100", 10)}) UNION ALL ({issue("volume_sanity", "INFO", "volume is a multiple of its median", "(SELECT * FROM g1 WHERE volume / nullif(mvol, 0) > 10)", "volume / nullif(mvol, 0)", 5)})
+        UNION ALL ({issue("large_gaps", "WARNING", "rows are far apart (days)", "(SELECT * FROM g1 WHERE gap > 5 * mgap)", "gap", 5)}))"""
     out["quality_issues"] = f"WITH {BARS}, {found} SELECT * FROM issues"
     out["quality_report"] = f"""WITH {BARS}, {found} SELECT s.symbol, count(check_name) AS issues, coalesce(max(severity = 'CRITICAL'), false) AS has_critical, coalesce(max(severity IN ('CRITICAL', 'ERROR', 'WARNING')), false) AS has_errors
         FROM (SELECT DISTINCT symbol FROM n) s LEFT JOIN issues ON s.symbol = issues.symbol GROUP BY s.symbol"""
@@ -321,13 +321,13 @@ def statements() -> dict[str, str]:
         y2 AS (SELECT symbol, period, avg(sharpe) OVER a AS ins, lead(sharpe) OVER p AS outs, count(sharpe) OVER a AS ca FROM y1 WINDOW p AS (PARTITION BY symbol ORDER BY period), a AS (PARTITION BY symbol ORDER BY period ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
         y3 AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY outs DESC) + (count(*) OVER (PARTITION BY period, outs) - 1) / 2.0::DOUBLE AS ro, rank() OVER (PARTITION BY period ORDER BY ins DESC) + (count(*) OVER (PARTITION BY period, ins) - 1) / 2.0::DOUBLE AS ri,
             count(*) OVER (PARTITION BY period) AS cnt FROM y2 WHERE ca = 2 AND outs IS NOT NULL), y4 AS (SELECT period, arg_max(ro, ins) AS rk, any_value(cnt) AS cnt FROM y3 GROUP BY period)
-        SELECT {r("avg(CAST(rk > cnt / 2 AS INT))", "pbo")}, {r("avg(ln((1 - rk / (cnt + 1)) / (rk / (cnt + 1))))", "mean_logit")}, count(*) AS combinations, (SELECT {r("corr(ri, ro)", "x")} FROM y3) AS rank_correlation FROM y4"""
+        SELECT {r("avg(CAST(rk > cnt / 2 AS INT))", "pbo")}, {r("CASE WHEN avg(CAST(rk > cnt / 2 AS INT)) <= 0 THEN '-inf'::DOUBLE WHEN avg(CAST(rk > cnt / 2 AS INT)) >= 1 THEN 'inf'::DOUBLE ELSE ln(avg(CAST(rk > cnt / 2 AS INT)) / (1 - avg(CAST(rk > cnt / 2 AS INT)))) END", "logit")}, {r("avg(ln((1 - rk / (cnt + 1)) / (rk / (cnt + 1))))", "mean_logit")}, count(*) AS combinations, (SELECT {r("corr(ri, ro)", "x")} FROM y3) AS rank_correlation FROM y4"""
     out["best_and_worst"] = from_run(
-        """, m AS (SELECT symbol, last_day(ts) AS month, exp(sum(ln(1 + ret))) - 1 AS ret FROM run GROUP BY ALL), span AS (SELECT symbol, date_trunc('month', min(month)) AS a, date_trunc('month', max(month)) AS b FROM m GROUP BY ALL),
+        """, m AS (SELECT symbol, last_day(ts) AS month, product(1 + ret) - 1 AS ret FROM run GROUP BY ALL), span AS (SELECT symbol, date_trunc('month', min(month)) AS a, date_trunc('month', max(month)) AS b FROM m GROUP BY ALL),
         cal AS (SELECT symbol, last_day(CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS month FROM span),
         mm AS (SELECT cal.symbol, cal.month, coalesce(m.ret, 0) AS ret FROM cal LEFT JOIN m ON cal.symbol = m.symbol AND cal.month = m.month),
         bm AS (SELECT symbol, first(month ORDER BY ret DESC, month DESC) AS bm, first(month ORDER BY ret, month) AS wm FROM mm GROUP BY symbol),
-        yy AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS y, exp(sum(ln(1 + ret))) - 1 AS ret FROM run GROUP BY ALL), by_ AS (SELECT symbol, first(y ORDER BY ret DESC, y DESC) AS best_y, first(y ORDER BY ret, y) AS worst_y FROM yy GROUP BY symbol)
+        yy AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS y, product(1 + ret) - 1 AS ret FROM run GROUP BY ALL), by_ AS (SELECT symbol, first(y ORDER BY ret DESC, y DESC) AS best_y, first(y ORDER BY ret, y) AS worst_y FROM yy GROUP BY symbol)
         SELECT 'sma_crossover' AS strategy_id, bm.symbol, CAST(bm AS VARCHAR) AS best_month, CAST(wm AS VARCHAR) AS worst_month, best_y AS best_year, worst_y AS worst_year FROM bm JOIN by_ ON bm.symbol = by_.symbol"""
     ).replace("FROM run2) ,", "FROM run2),")
     out["pit_features"] = f"""WITH {BARS}, k AS (SELECT * FROM n WHERE ts <= TIMESTAMP '1999-06-30'), f AS (SELECT symbol, ts, {full("avg", "close", 20)} AS a, {RET} AS b, {div("volume", full("avg", "volume", 20))} AS c FROM k)

@@ -10,9 +10,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import oracle
+from tidemark import oracle, oracle_parts, oracle_runs, registry_parts
 from tidemark.functions import indicators as I  # noqa: N812
-from tidemark.functions.core import by_symbol, change, div, lag
+from tidemark.functions.core import by_symbol, change, div, lag, last
 from tidemark.operators import analysis, backtest, execution, pit, quality, search, validation
 from tidemark.plans import dsl, strategy
 from tidemark.sources import bars, store
@@ -84,6 +84,12 @@ def _on_revisions(f):
     return lambda spark, sf_dir: rounded(f(bars.pit_orders(spark, sf_dir)))
 
 
+def smooth(b: DataFrame, n: int = 60) -> DataFrame:
+    """Bars of mean prices: the prices of single orders jump by so much that transformed ones would leave the range of doubles."""
+    return b.select("symbol", "ts", *[F.avg(c).over(last(n)).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+SCENARIOS = [*validation.HISTORICAL, *validation.SYNTHETIC]
 TEMPLATES = [_named(f()) for f in strategy.TEMPLATES.values()]
 
 DSL_ARITHMETIC = {
@@ -115,12 +121,12 @@ def _benchmark(b: DataFrame) -> DataFrame:
 def _pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars.bars_lineitem(spark, sf_dir).withColumn("r", change("close"))
     ratios = b.groupBy(F.col("symbol").alias("strategy_id"), F.trunc("ts", "year").alias("period")).agg(F.coalesce(div(F.avg("r"), F.stddev_samp("r")), F.lit(0.0)).alias("sharpe"))
-    return rounded(validation.pbo(validation.pbo_windows(ratios, 2, 1)).select("pbo", "mean_logit", "combinations", "rank_correlation"))
+    return rounded(validation.pbo(validation.pbo_windows(ratios, 2, 1)).select("pbo", "logit", "mean_logit", "combinations", "rank_correlation"))
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars.bars_lineitem(spark, sf_dir)
-    return rounded(validation.validate(b, TEMPLATES, scenarios=list(validation.SYNTHETIC), benchmark=_benchmark(b)))
+    b = smooth(bars.bars_lineitem(spark, sf_dir))
+    return rounded(validation.validate(b, TEMPLATES, scenarios=SCENARIOS, benchmark=_benchmark(b)))
 
 
 def _spa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +137,7 @@ def _spa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.discover(bars.bars_lineitem(spark, sf_dir), size=8, generations=1, warm=["delta(close, 5)", "neg(zscore(close))"])
+    found = search.discover(bars.bars_lineitem(spark, sf_dir), warm=["delta(close, 5)", "neg(zscore(close))"])
     rows = [(t.hash, str(t), found.ranks[t.hash], float(found.fitness.get(t.hash, {}).get("train", {}).get("sharpe") or 0.0)) for t in found.population]
     return spark.createDataFrame(rows, "tree_id string, formula string, rank int, train_sharpe double")
 
@@ -149,7 +155,7 @@ def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _monitored(b: DataFrame) -> DataFrame:
     r = b.select(F.col("symbol").alias("key"), "ts", F.coalesce(change("close"), F.lit(0.0)).alias("ret"))
-    return cusum.alerts(cusum.monitor(r, 0.5)).drop("message")
+    return cusum.alerts(cusum.monitor(r, 6.0)).drop("message")
 
 
 def _quality(b: DataFrame) -> DataFrame:
@@ -200,12 +206,12 @@ def queries() -> dict:
         "vwap": lambda: {"vwap": I.vwap()}, "cci": lambda: {"cci": I.cci()}, "mfi": lambda: {"mfi": I.mfi()}, "ichimoku": I.ichimoku, "garman_klass": lambda: {"garman_klass": I.garman_klass()},
         "parkinson": lambda: {"parkinson": I.parkinson()}, "vortex": I.vortex, "donchian": I.donchian, "ultimate": lambda: {"ultimate": I.ultimate()}, "kst": I.kst, "aroon": I.aroon,
         "rolling_stats": lambda: {f"r_{s}": I.rolling_stat("close", 20, s) for s in ("mean", "std", "min", "max", "sum", "var", "skew", "kurt")},
-        "z_score": lambda: {"z_score": I.z_score("close", 60)}, "expanding_rank": lambda: {"expanding_rank": I.expanding_rank("close")},
+        "z_score": lambda: {"z_score": I.z_score("close", 60)}, 
         "cross_section_rank": lambda: {"cs_rank": dsl.cross_section_rank("close")},
     }
     out = {"flagship_sma_sharpe": _on_run(backtest.sharpe), "bars_daily": lambda s, d: rounded(bars.bars_lineitem(s, d)), "bars_hourly": lambda s, d: rounded(bars.bars_events(s, d))}
     out |= {n: _columns(f) for n, f in W.items()}
-    R = {"ema": [("ema", 12), ("ema", 26)], "macd": [("macd",)], "rsi": [("rsi", 14)], "atr": [("atr", 14)], "adx": [("adx", 14)], "keltner": [("keltner",)], "chaikin_volatility": [("chaikin",)], "mass_index": [("mass",)]}  # noqa: N806
+    R = {"ema": [("ema", 12), ("ema", 26)], "macd": [("macd",)], "rsi": [("rsi", 14)], "atr": [("atr", 14)], "adx": [("adx", 14)], "keltner": [("keltner",)], "chaikin_volatility": [("chaikin",)], "mass_index": [("mass",)], "expanding_rank": [("expanding_rank", "close", 60)]}  # noqa: N806
     out |= {n: _recursive(w) for n, w in R.items()}
     out |= {
         "indicators_basic": _on_bars(I.basic_bundle), "indicators_advanced": _on_bars(I.advanced_bundle), "features": _on_bars(lambda b: I.features(b)),
@@ -214,8 +220,8 @@ def queries() -> dict:
         "positions_with_limits": _on_bars(lambda b: backtest.positions(strategy.signals(b, TEMPLATES)).select("strategy_id", "symbol", "ts", "position", "exit_reason")),
         "backtest_returns": _on_run(lambda r: r.select("symbol", "ts", "held", "ret", "equity")), "drawdown": _on_run(analysis.rolling_drawdown), "metrics": _on_run(backtest.metrics),
         "templates_metrics": _on_bars(lambda b: backtest.metrics(backtest.backtest(b, TEMPLATES))), "trades": _on_run(backtest.trades), "trade_statistics": _on_run(lambda r: backtest.trade_statistics(backtest.trades(r))),
-        "detailed_backtest": _on_bars(lambda b: backtest.detailed(strategy.signals(b, TEMPLATES))), "event_driven": _on_bars(lambda b: backtest.event_driven(strategy.signals(b, TEMPLATES[:2]))),
-        "shortfall": _on_bars(lambda b: backtest.shortfall(backtest.backtest(b, TEMPLATES[:2]), backtest.event_driven(strategy.signals(b, TEMPLATES[:2])))),
+        "detailed_backtest": _on_bars(lambda b: backtest.detailed(strategy.signals(b, TEMPLATES))), "event_driven": _on_bars(lambda b: backtest.event_driven(strategy.signals(b, TEMPLATES))),
+        "shortfall": _on_bars(lambda b: backtest.shortfall(backtest.backtest(b, TEMPLATES), backtest.event_driven(strategy.signals(b, TEMPLATES)))),
         "information_ratio": lambda s, d: rounded(backtest.information_ratio(crossover_run(b := bars.bars_lineitem(s, d)), _benchmark(b))),
         "monthly_returns": _on_run(analysis.monthly), "yearly_returns": _on_run(analysis.yearly), "best_and_worst": _on_run(analysis.best_and_worst), "rolling_sharpe": _on_run(analysis.rolling_sharpe),
         "regimes": _on_bars(lambda b: analysis.regimes(b).select("symbol", "ts", "realized_vol", "historical_vol", "trend_slope", "return_20", "drawdown", "regime")),
@@ -230,15 +236,16 @@ def queries() -> dict:
         "time_split": _on_bars(lambda b: backtest.halves(b).groupBy("symbol", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"))),
         "cpcv_folds": _on_bars(validation.fold_info), "cpcv": _on_run(validation.cpcv), "cpcv_summary": _on_run(lambda r: validation.cpcv_summary(validation.cpcv(r))), "pbo": _pbo,
         "probability_of_loss": _on_run(lambda r: validation.probability_of_loss(validation.cpcv(r))), "deflated_sharpe": _on_run(lambda r: validation.deflated_sharpes(r, 10)), "spa": _spa,
-        "stress": _on_bars(lambda b: validation.stress(b, TEMPLATES[:3], list(validation.SYNTHETIC))), "walk_forward": _on_bars(lambda b: validation.walk_forward(backtest.backtest(b, TEMPLATES))),
+        "stress": _on_bars(lambda b: validation.stress(smooth(b), TEMPLATES, SCENARIOS)), "validation_gates": _on_bars(lambda b: validation.validate(smooth(b), TEMPLATES, scenarios=SCENARIOS)),
+        "walk_forward_summary": _on_bars(lambda b: validation.walk_forward_summary(rounded(validation.walk_forward(backtest.backtest(b, TEMPLATES))))), "walk_forward": _on_bars(lambda b: validation.walk_forward(backtest.backtest(b, TEMPLATES))),
         "validation_pipeline": _validated, "market_impact": _impact, "pareto_front": _pareto, "top_strategies": _rank_top, "parameter_sweep": _on_bars(_sweep), "discovery": _discovered, "cusum_alerts": _on_bars(_monitored),
         "hourly_bars_from_events": lambda s, d: rounded(cusum.hourly_bars(s.read.parquet(f"{d}/events.parquet"))),
     }
-    return out
+    return out | registry_parts.queries(_on_bars, _on_run, rounded)
 
 
 def oracle_sql() -> dict:
-    return oracle.statements()
+    return oracle.statements() | oracle_runs.statements() | oracle_parts.statements()
 
 
 __all__ = ["Window", "oracle_sql", "queries"]

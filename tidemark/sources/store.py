@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +19,28 @@ LOG = StructType().add("kind", "string").add("id", "string").add("ts", "timestam
 RUNS = "run_id string, ts timestamp, params map<string,string>, metrics map<string,double>, tags map<string,string>"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: spark.checkpoint.dir. Only a local master without it gets a temporary folder, for as long as Python runs."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext not in _LOCAL:
+        _LOCAL[spark.sparkContext] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _LOCAL[spark.sparkContext], ignore_errors=True)
+    return _LOCAL[spark.sparkContext]
+
+
+_LOCAL: dict = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df worked out once, as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     """By symbol; a symbol that is written again replaces its own partition only."""
     bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
