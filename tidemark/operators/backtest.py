@@ -6,7 +6,7 @@ fold over a strategy's bars of one symbol (applyInPandas); all that follows are
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -236,33 +236,32 @@ def fill_probability(aggressiveness: float, queue: float) -> float:
 def event_driven(signalled: DataFrame, seed: int = 42, units: float = 100.0, delay: int = 1, impact: float = 0.1, least_fill: float = 0.1, capital: float = 100_000.0) -> DataFrame:
     """Orders of `units` with a delay in bars, chance of filling, partial fills and price impact; one running quantity per key.
 
-    Random numbers come from the seed and the key, so every run of any partitioning gives the same fills.
+    Random numbers come from a hash of the seed, the key, the bar and the order, so every run of any partitioning gives the same fills, and
+    another engine can draw them too.
     """
     fields = [f for f in signalled.schema.fields if f.name in (*KEY, "ts", "close")]
     schema = StructType([*fields, *[StructField(n, DoubleType()) for n in ("quantity", "filled", "fill_price", "value", "ret")]])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts", kind="stable")
-        key = f"{rows.strategy.iloc[0] if 'strategy' in rows else rows.strategy_id.iloc[0]}|{rows.symbol.iloc[0]}"
-        rng = np.random.default_rng([seed, zlib.crc32(key.encode())])
-        cash, quantity, orders, before, out = capital, 0.0, [], capital, []
+        key = f"{seed}|{rows.strategy_id.iloc[0]}|{rows.symbol.iloc[0]}"
+        cash, quantity, orders, before, out = capital, 0.0, [], capital, []  # orders: [bar that it is due, units left]
         for i, row in enumerate(rows.itertuples()):
-            waiting = sum(o[1] for o in orders)
-            if row.entry_signal and quantity + waiting <= 0:
+            wanted = quantity + sum(o[1] for o in orders)
+            if row.entry_signal and wanted < 1e-9:  # what rounding leaves is nothing
                 orders.append([i + delay, units])
-            elif row.exit_signal and quantity + waiting > 0:
-                orders.append([i + delay, -(quantity + waiting)])
+            elif row.exit_signal and wanted >= 1e-9:
+                orders.append([i + delay, -wanted])
             filled, paid = 0.0, np.nan
-            for o in list(orders):
-                if o[0] > i or rng.random() > fill_probability(0.002, rng.random()):
+            for o in orders:
+                if o[0] > i or drawn(key, i, o[0], 0) > fill_probability(0.002, drawn(key, i, o[0], 1)):
                     continue
-                most = row.volume * 0.01 * rng.uniform(least_fill, 1.0)
+                most = row.volume * 0.01 * (least_fill + (1 - least_fill) * drawn(key, i, o[0], 2))
                 n = float(np.sign(o[1]) * min(abs(o[1]), max(most, 1.0)))
                 paid = row.close * (1 + np.sign(n) * impact * abs(n) * row.close / 1e6)
                 cash -= n * paid
                 quantity, filled, o[1] = quantity + n, filled + n, o[1] - n
-                if abs(o[1]) < 1e-9:
-                    orders.remove(o)
+            orders, quantity = [o for o in orders if abs(o[1]) >= 1e-9], quantity if abs(quantity) >= 1e-9 else 0.0
             value = cash + quantity * row.close
             out.append((quantity, filled, paid, value, value / before - 1 if before else 0.0))
             before = value
@@ -272,6 +271,11 @@ def event_driven(signalled: DataFrame, seed: int = 42, units: float = 100.0, del
     return signalled.groupBy(*KEY).applyInPandas(run, schema)
 
 
+def drawn(key: str, bar: int, due: int, number: int) -> float:
+    """A number from 0 to 1 for an order on a bar."""
+    return int(hashlib.md5(f"{key}|{bar}|{due}|{number}".encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
 def shortfall(vector: DataFrame, event: DataFrame, most: float = 0.3) -> DataFrame:
     """How much of the vectorised Sharpe ratio the event-driven run loses."""
     a, b = sharpe(vector).withColumnRenamed("sharpe_ratio", "vector_sharpe"), sharpe(event).withColumnRenamed("sharpe_ratio", "event_sharpe")

@@ -168,6 +168,45 @@ def statements() -> dict[str, str]:
             coalesce(dsr >= 0.95 AND sharpe >= 1.0 AND loss <= 0.05 AND rate >= 0.8, false) AS passed, coalesce(dsr >= 0.98 AND sharpe >= 1.5 AND loss <= 0.02, false) AS auto_accept FROM v""",
         SMOOTH,
     )
+    # event-driven: cash, quantity and the open orders [due, left] are the state of one bar
+    u = lambda k: f"CAST(CAST('0x' || substr(md5('42|' || symbol || '|' || i || '|' || o.due || '|{k}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+    size = f"sign(o.remaining) * least(abs(o.remaining), greatest(volume * 0.01 * (0.1 + 0.9 * ({u(2)})), 1.0))"
+    filled = f"list_transform(orders, lambda o: CASE WHEN o.due > i OR ({u(0)}) > 0.95 * (1 - ({u(1)}) / 2) THEN 0.0::DOUBLE ELSE CAST({size} AS DOUBLE) END)"
+    price = "close * (1 + sign(f) * 0.1 * abs(f) * close / 1e6::DOUBLE)"
+    event = f"""sig2 AS MATERIALIZED (SELECT sig.*, n.volume FROM sig JOIN n ON split_part(sig.symbol, '|', 2) = n.symbol AND sig.i = n.i),
+        ev AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS quantity, CAST([] AS STRUCT(due BIGINT, remaining DOUBLE)[]) AS orders, 0.0::DOUBLE AS filled, CAST(NULL AS DOUBLE) AS paid FROM sig WHERE i = 0
+            UNION ALL SELECT symbol, i, cash - coalesce(list_sum(list_transform(fills, lambda f: f * ({price}))), 0), CASE WHEN abs(quantity + coalesce(list_sum(fills), 0)) >= 1e-9 THEN quantity + coalesce(list_sum(fills), 0) ELSE 0.0::DOUBLE END,
+                list_filter(list_transform(orders, lambda o, j: struct_pack(due := o.due, remaining := o.remaining - fills[j])), lambda o: abs(o.remaining) >= 1e-9), coalesce(list_sum(fills), 0),
+                list_last(list_transform(list_filter(fills, lambda f: f <> 0), lambda f: {price}))
+            FROM (SELECT *, {filled} AS fills FROM (SELECT symbol, i, close, volume, cash, quantity,
+                CASE WHEN entry AND quantity + waiting < 1e-9 THEN list_append(orders, struct_pack(due := i + 1, remaining := 100.0::DOUBLE)) WHEN leave AND quantity + waiting >= 1e-9 THEN list_append(orders, struct_pack(due := i + 1, remaining := -(quantity + waiting))) ELSE orders END AS orders
+                FROM (SELECT s.*, e.cash, e.quantity, e.orders, coalesce(list_sum(list_transform(e.orders, lambda o: o.remaining)), 0) AS waiting FROM ev e JOIN sig2 s ON s.symbol = e.symbol AND s.i = e.i + 1)))),
+        events_ AS (SELECT ev.symbol, sig2.ts, ev.i, sig2.close, ev.quantity, filled, paid, cash + ev.quantity * sig2.close AS value FROM ev JOIN sig2 USING (symbol, i)),
+        events_run AS (SELECT *, value / coalesce(lag(value) OVER ({EACH}), 100000.0) - 1 AS ret FROM events_)"""
+    out["event_driven"] = with_track(RULES, f", {event} SELECT {NAMES}, {TIME}, {r('close', 'close')}, {r('quantity', 'quantity')}, {r('filled', 'filled')}, {r('paid', 'fill_price')}, {r('value', 'value')}, {r('ret', 'ret')} FROM events_run")
+    ratio = _zero("avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)")
+    out["shortfall"] = with_track(
+        RULES,
+        run + f"""{event}, va AS (SELECT symbol, {ratio} AS a FROM run GROUP BY symbol), eb AS (SELECT symbol, {ratio} AS b FROM events_run GROUP BY symbol), lost AS (SELECT symbol, a, b, coalesce((a - b) / nullif(a, 0), 0) AS x FROM va JOIN eb USING (symbol))
+        SELECT {NAMES}, {r("a", "vector_sharpe")}, {r("b", "event_sharpe")}, {r("x", "shortfall")}, x < 0.3 AS acceptable FROM lost""",
+    )
+    def scattered(number: int) -> str:
+        x = f"((rep + 42000126) * 1000003 + i * 7919 + {number * 104_729 + 12_345}) % 2147483647"
+        for factor, shift in ((48_271, 13), (69_621, 11), (39_373, 7)):
+            x = f"(list_transform([{x}], lambda y: xor(y, y >> {shift}) * {factor})[1]) % 2147483647"
+        return x
+
+    out["spa"] = from_run(
+        f""", bench AS (SELECT ts, avg(coalesce({RET}, 0)) AS b FROM n GROUP BY ts), d AS MATERIALIZED (SELECT run.symbol AS name, CAST(row_number() OVER (PARTITION BY run.symbol ORDER BY run.ts) - 1 AS BIGINT) AS i, ret - b AS d FROM run JOIN bench ON run.ts = bench.ts),
+        c AS MATERIALIZED (SELECT name, count(*) AS n, avg(d) AS m FROM d GROUP BY name), dev AS (SELECT d.name, i, d - m AS x, n FROM d JOIN c USING (name)),
+        auto AS (SELECT a.name, b.i - a.i AS k, sum(a.x * b.x) / any_value(a.n) AS g FROM dev a JOIN dev b ON a.name = b.name AND b.i - a.i BETWEEN 0 AND least(a.n, 200) - 1 GROUP BY ALL),
+        omega AS (SELECT auto.name, sqrt(greatest(sum(CASE WHEN k = 0 THEN g ELSE 2 * g * ((n - k) / n * pow(0.9::DOUBLE, k) + k / n * pow(0.9::DOUBLE, n - k)) END), 1e-24)) AS w FROM auto JOIN c USING (name) GROUP BY auto.name),
+        u AS (SELECT name, n, rep, i, i = 0 OR ({scattered(0)}) / 2147483647.0::DOUBLE < 0.1::DOUBLE AS fresh, CAST(floor(({scattered(1)}) / 2147483647.0::DOUBLE * n) AS BIGINT) % n AS start FROM d JOIN c USING (name), range(1000) t(rep)),
+        v AS (SELECT name, n, rep, i, max(CASE WHEN fresh THEN i * 100000 + start END) OVER (PARTITION BY name, rep ORDER BY i ROWS UNBOUNDED PRECEDING) AS packed FROM u),
+        means AS (SELECT v.name, rep, avg(d.d) AS mean FROM v JOIN d ON d.name = v.name AND d.i = (packed % 100000 + v.i - packed // 100000) % n GROUP BY ALL),
+        s AS (SELECT name, n, m, w, greatest(0.0, sqrt(n) * m / w) AS statistic, CASE WHEN sqrt(n) * m / w >= -sqrt(2 * ln(ln(greatest(n, 16)))) THEN m ELSE 0 END AS centre FROM c JOIN omega USING (name))
+        SELECT s.name, {r("statistic", "statistic")}, {r("m", "mean_difference")}, {r("avg(CASE WHEN statistic > 0 THEN CAST(greatest(0.0, sqrt(n) * (mean - centre) / w) >= statistic AS INT) ELSE 1 END)", "p_value")} FROM means JOIN s USING (name) GROUP BY s.name, statistic, m"""
+    ).replace("FROM run2) ,", "FROM run2),")
     out["lookahead"] = f"""WITH {BARS}, cuts AS (SELECT symbol, CAST(floor(count(*) / 2) AS BIGINT) AS cut FROM n GROUP BY symbol UNION ALL SELECT DISTINCT symbol, unnest([10, 15, 20]) FROM n),
         ahead AS (SELECT symbol, ts, i, lead(close) OVER ({EACH}) AS later FROM n)
         SELECT symbol, CAST(cut AS INTEGER) AS prefix_rows, {TIME}, CAST(NULL AS DOUBLE) AS prefix_value, {r("later", "full_value")} FROM ahead JOIN cuts USING (symbol) WHERE i + 1 = cut AND later IS NOT NULL"""
