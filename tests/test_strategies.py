@@ -107,7 +107,16 @@ def test_lookahead_guard(spark):
     quality.require_causal(b, lambda d: d.withColumn("x", F.avg("close").over(by_symbol().rowsBetween(-4, 0))), "x")
     with pytest.raises(ValueError):
         quality.require_causal(b, lambda d: d.withColumn("x", F.avg("close").over(by_symbol().rowsBetween(-2, 2))), "x")
-    assert quality.leaking_canaries(lambda q: "Argentina won", "2022-01-01") == [quality.CANARIES[2][1]]
+    with pytest.raises(ValueError):
+        quality.require_causal(b, lambda d: d.withColumn("x", F.lead("close").over(by_symbol())), "x")
+    assert quality.lookahead(b, lambda d: d.withColumn("x", F.lead("close").over(by_symbol())), "x", (10,)).count() == 2
+    assert quality.leaking_canaries(lambda q: "Argentina won", "2022-01-01") == [quality.CANARIES[3][1]]
+    with pytest.raises(ValueError):
+        quality.require_text_feature(b, lambda d: d, quality.mock_model("2024-01-01"), "ts", "2020-01-01")
+    texts = spark.createDataFrame([("2020-01-01", "abc"), ("2020-01-02", "a")], "ts string, t string")
+    assert sorted(r["sentiment"] for r in quality.text_feature(texts, len, "t", "ts", "2021-01-01").collect()) == [1.0, 3.0]
+    found = quality.text_events(spark.createDataFrame([("2020-01-01", "merger"), ("2020-01-02", None)], "ts string, t string"), lambda t: (t, 0.9), "t", "ts", "2021-01-01")
+    assert {(r["event_type"], r["confidence"]) for r in found.collect()} == {("merger", 0.9), ("none", 0.0)}
 
 
 def test_deflated_sharpe():
@@ -156,6 +165,9 @@ def test_stress_and_walk_forward(spark, sf_dir):
     b = sources.bars_lineitem(spark, sf_dir)
     found = validation.stress(b, [strategy.buy_and_hold()], [*validation.SYNTHETIC, validation.Scenario("then", start="1996-01-01", end="1997-01-01")])
     assert {r["scenario"] for r in found.select("scenario").collect()} == {"volatility_3x", "gap_risk", "correlation_spike", "then"}
+    halved = validation.Scenario("halved", "own", transform=lambda rows: rows.withColumn("close", F.col("close") / 2))
+    same, own = (validation.stress(b, [strategy.buy_and_hold()], [s]).orderBy("symbol").collect() for s in (validation.Scenario("all", start="1990-01-01", end="2010-01-01"), halved))
+    assert [r["sharpe_ratio"] for r in own] == pytest.approx([r["sharpe_ratio"] for r in same])
     forward = validation.walk_forward(backtest.backtest(b, [strategy.sma_crossover(), strategy.buy_and_hold()]), 100, 50)
     assert forward.count() > 0 and forward.where("degradation is null").count() == 0
 
@@ -164,6 +176,12 @@ def test_pareto(spark):
     rows = [(1, 1.0, 5.0), (2, 2.0, 4.0), (3, 1.0, 4.0), (4, 2.0, 4.0), (5, 0.0, 0.0)]
     front = search.pareto_front(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"])
     assert sorted(r["id"] for r in front.collect()) == [1, 2, 4]
+    rng = np.random.default_rng(3)
+    many = [(i, float(a), float(-a + rng.integers(0, 3)), float(rng.integers(0, 4))) for i, a in enumerate(rng.integers(0, 60, 400))]
+    df = spark.createDataFrame(many, "id int, a double, b double, c double").repartition(4)
+    want = sorted(r[0] for r, out in zip(many, search._beaten(np.array(many)[:, 1:]), strict=True) if not out)
+    for most in (20_000, 25):
+        assert sorted(r["id"] for r in search.pareto_front(df, ["a", "b", "c"], most_broadcast=most).collect()) == want
     x = np.array([[r[1], r[2]] for r in rows])
     assert search.pareto_ranks(x).tolist() == [0, 0, 1, 0, 2]
 
@@ -172,6 +190,54 @@ def test_discovery_is_reproducible(spark, sf_dir):
     b = sources.bars_lineitem(spark, sf_dir).where("symbol = 'NO'")
     a, c = (search.discover(b, size=4, generations=1, seed=7) for _ in range(2))
     assert [str(t) for t in a.population] == [str(t) for t in c.population] and len(a.history) == 2
+    seen = []
+    own = search.discover(b, size=4, generations=0, seed=7, own={"busy": lambda f: seen.append(f["trades"]) or f["trades"]})
+    assert seen and own.pbo(spark).first()["combinations"] == 1 and len(own.strategies()) == len(own.zoo)
+
+
+@pytest.mark.parametrize("sampler", ["tpe", "random", "grid"])
+def test_samplers(spark, sf_dir, sampler):
+    b = sources.bars_lineitem(spark, sf_dir).where("symbol = 'NO'")
+    space = [search.Parameter("fast_period", 5, 15, 5, whole=True), search.Parameter("slow_period", 20, 40, whole=True)]
+    found = search.optimise(b, strategy.sma_crossover, space, trials=4, batch=2, sampler=sampler)
+    assert len(found) == 4 and [v for _, v in found] == sorted((v for _, v in found), reverse=True)
+    assert all(5 <= p["fast_period"] <= 15 and 20 <= p["slow_period"] <= 40 for p, _ in found)
+
+
+def test_proposals_follow_what_was_good():
+    import random
+
+    space = [search.Parameter("x", 0.0, 10.0), search.Parameter("k", choices=("a", "b"))]
+    rng = random.Random(1)
+    done = [(p, -abs(p["x"] - 7) - (p["k"] == "a")) for p in search.random_points(space, 60, 2)]
+    drawn = [search._proposed(space, done, rng) for _ in range(40)]
+    assert abs(np.mean([p["x"] for p in drawn]) - 7) < 1.5 and sum(p["k"] == "b" for p in drawn) > 30
+
+
+def test_evolution_of_templates(spark, sf_dir):
+    b = sources.bars_lineitem(spark, sf_dir).where("symbol = 'NO'")
+    templates = {"sma": (strategy.sma_crossover, [search.Parameter("fast_period", 5, 20, whole=True)]), "rsi": (strategy.rsi_mean_reversion, [search.Parameter("oversold", 10.0, 40.0)])}
+    found = search.evolve(b, templates, size=4, generations=1)
+    assert [v for _, v in found] == sorted((v for _, v in found), reverse=True) and len({s.id for s, _ in found}) == len(found)
+
+
+def test_expanding_rank_counts():
+    from tidemark.functions.recursive import _before, _expanding_rank
+
+    x = np.random.default_rng(4).integers(0, 40, 1500).astype(float)
+    below, same = _before(x, 64)
+    assert all(below[i] == (x[:i] < x[i]).sum() and same[i] == (x[:i] == x[i]).sum() for i in range(0, 1500, 37))
+    assert _expanding_rank(pd.Series([3.0, None, 1.0, 2.0]), 2).fillna(-1).tolist() == [-1, -1, 0.0, 0.5]
+
+
+def test_shell(spark, sf_dir, capsys):
+    from tidemark import __main__ as shell
+
+    shell.main(["templates"])
+    shell.main(["backtest", sf_dir, "--tables", "--symbols", "NO", "--template", "buy_and_hold"])
+    shell.main(["query", "bars_daily", sf_dir])
+    said = capsys.readouterr().out
+    assert "sma_crossover" in said and "sharpe_ratio" in said and "symbol" in said
 
 
 def test_parameters():
@@ -234,4 +300,4 @@ def test_monitor_batch_equals_stream(spark, tmp_path):
 def test_queries_have_sql(spark):
     from tidemark import registry
 
-    assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.oracle_sql()) >= 70
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"discovery", "validation_pipeline"} and set(registry.oracle_sql()) <= set(registry.queries())

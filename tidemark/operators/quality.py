@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +167,6 @@ def require_temporal_safety(ask: Callable[[str], str], cutoff: str) -> None:
 
 def text_feature(df: DataFrame, score: Callable, text: str, ts: str, cutoff: str, name: str = "sentiment") -> DataFrame:
     """df with a model's score of a text column, by Arrow batches; texts later than the model's cutoff are an error."""
-    import pandas as pd
-
     if df.where(F.col(ts) > F.lit(cutoff).cast("timestamp")).take(1):
         raise ValueError(f"texts are later than the model's cutoff {cutoff}")
 
@@ -180,8 +179,6 @@ def text_feature(df: DataFrame, score: Callable, text: str, ts: str, cutoff: str
 
 def text_events(df: DataFrame, extract: Callable[[str], tuple[str, float]], text: str, ts: str, cutoff: str) -> DataFrame:
     """df with event_type and confidence that a model finds in a text column, by Arrow batches; null texts have the event `none`."""
-    import pandas as pd
-
     if df.where(F.col(ts) > F.lit(cutoff).cast("timestamp")).take(1):
         raise ValueError(f"texts are later than the model's cutoff {cutoff}")
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import YEAR, change, div
@@ -261,9 +261,22 @@ class Discovery:
     def weights(self) -> dict[str, float]:
         return {z["tree_id"]: 1 / len(self.zoo) for z in self.zoo}
 
+    def strategies(self) -> list[Strategy]:
+        """The zoo as strategies that name their formula."""
+        return [Strategy(f"formula-{z['tree_id']}", formula=z["formula"], id=z["tree_id"]) for z in self.zoo]
 
-def discover(bars: DataFrame, size: int = 20, generations: int = 3, seed: int = 42, warm: list[str] | None = None, max_size: int = 40, min_sharpe: float = 0.0, max_complexity: float = 1.0, on_generation: Callable[[dict], None] | None = None) -> Discovery:
-    """Elitist search by fronts and crowding; formulas that hold on the test segment make the zoo, the best 100 by ratio."""
+    def pbo(self, spark: SparkSession) -> DataFrame | None:
+        """selection_pbo() over all formulas that have figures on both segments; None for fewer than two."""
+        rows = [(t, s, float(f[s]["sharpe"])) for t, f in self.fitness.items() if "train" in f and "test" in f for s in ("train", "test")]
+        return selection_pbo(spark.createDataFrame(rows, "tree_id string, segment string, sharpe double")) if len(rows) >= 4 else None
+
+
+def discover(bars: DataFrame, size: int = 20, generations: int = 3, seed: int = 42, warm: list[str] | None = None, max_size: int = 40, min_sharpe: float = 0.0, max_complexity: float = 1.0, on_generation: Callable[[dict], None] | None = None, own: dict[str, Callable[[dict], float]] | None = None) -> Discovery:
+    """Elitist search by fronts and crowding; formulas that hold on the test segment make the zoo, the best 100 by ratio.
+
+    own: objectives of your own by name, functions of a formula's figures on the train segment (more is better), which join the four.
+    """
+    own = own or {}
     rng = random.Random(seed)
     population = {t.hash: t for t in [dsl.parse(f) for f in warm or []] + dsl.random_population(size, seed)}
     fitness: dict[str, dict] = {}
@@ -279,7 +292,7 @@ def discover(bars: DataFrame, size: int = 20, generations: int = 3, seed: int =
         for t in trees:
             f = fitness.get(t.hash, {}).get("train")
             active = f is not None and (f["trades"] or 0) >= 5
-            out.append([f[o] if active else -999.0 for o in OBJECTIVES])
+            out.append([*(f[o] for o in OBJECTIVES), *(float(o(f)) for o in own.values())] if active else [-999.0] * (len(OBJECTIVES) + len(own)))
         return np.array(out, dtype=float)
 
     for generation in range(generations + 1):
@@ -369,6 +382,96 @@ def sweep(bars: DataFrame, make: Callable[..., Strategy], points: list[dict], ob
     return found.orderBy(F.col(objective).desc_nulls_last(), "strategy_id", "symbol")
 
 
+def _density(x: float, seen: list[float], low: float, high: float) -> float:
+    """Parzen estimate with one normal curve a point and one over the whole range."""
+    width = max((high - low) / max(2.0, len(seen) ** 0.5 + 1), 1e-12)
+    curve = lambda m, s: math.exp(-(((x - m) / s) ** 2) / 2) / s
+    return (sum(curve(m, width) for m in seen) + curve((low + high) / 2, high - low + 1e-12)) / (len(seen) + 1)
+
+
+def _proposed(space: list[Parameter], done: list[tuple[dict, float]], rng: random.Random, tries: int = 24) -> dict:
+    """A point by tree-structured Parzen estimators: of some drawn near the best quarter, the one least like the rest, parameter by parameter."""
+    ranked = sorted(done, key=lambda d: -d[1])
+    n_good = max(1, len(ranked) // 4)
+    good, bad = ([p for p, _ in part] for part in (ranked[:n_good], ranked[n_good:]))
+    out = {}
+    for p in space:
+        if p.choices:
+            share = lambda rows, c: (sum(r[p.name] == c for r in rows) + 1) / (len(rows) + len(p.choices))  # noqa: B023, E731
+            out[p.name] = max(p.choices, key=lambda c: (share(good, c) / share(bad, c), rng.random()))  # noqa: B023
+            continue
+        scale = math.log if p.log else float
+        low, high = scale(p.low), scale(p.high)
+        near, far = ([scale(r[p.name]) for r in rows] for rows in (good, bad))
+        width = (high - low) / max(2.0, len(near) ** 0.5 + 1)
+        drawn = [min(high, max(low, rng.gauss(rng.choice(near), width))) for _ in range(tries)]
+        best = max(drawn, key=lambda x: _density(x, near, low, high) / _density(x, far, low, high))  # noqa: B023
+        value = math.exp(best) if p.log else best
+        if p.step:
+            value = p.low + round((value - p.low) / p.step) * p.step
+        out[p.name] = round(value) if p.whole else value
+    return out
+
+
+def optimise(bars: DataFrame, make: Callable[..., Strategy], space: list[Parameter], trials: int = 30, batch: int = 10, sampler: str = "tpe", objective: str = "sharpe_ratio", seed: int = 42, on_batch: Callable[[list], None] | None = None) -> list[tuple[dict, float]]:
+    """Points with their objective (mean over symbols), the best first. Each batch of points is one job; `tpe` draws the next batch from what
+    the ones before have shown, `random` and `grid` do not."""
+    if sampler not in ("tpe", "random", "grid"):
+        raise ValueError(f"unknown sampler: {sampler}")
+    rng, done = random.Random(seed), []
+    waiting = grid_points(space)[:trials] if sampler == "grid" else []
+    while len(done) < trials and (sampler != "grid" or waiting):
+        n = min(batch, trials - len(done))
+        if sampler == "grid":
+            points, waiting = waiting[:n], waiting[n:]
+        elif sampler == "random" or not done:
+            points = [{p.name: p.sample(rng) for p in space} for _ in range(n)]
+        else:
+            points = [_proposed(space, done, rng) for _ in range(n)]
+        found = sweep(bars, make, points, objective).groupBy("strategy_id").agg(F.avg(objective).alias("v")).collect()
+        value = {r["strategy_id"]: r["v"] for r in found}
+        done += [(p, float(v) if (v := value.get(f"point-{i}")) is not None else -math.inf) for i, p in enumerate(points)]
+        if on_batch:
+            on_batch(done)
+    return sorted(done, key=lambda d: -d[1])
+
+
+def evolve(bars: DataFrame, templates: dict[str, tuple[Callable[..., Strategy], list[Parameter]]], size: int = 20, generations: int = 3, objective: str = "sharpe_ratio", seed: int = 42, elite: int = 2) -> list[tuple[Strategy, float]]:
+    """Templates' parameters by a genetic algorithm: tournaments of three, parameters crossed within a template, one in five drawn anew.
+
+    A generation is one job; strategies that were seen before are not run again.
+    """
+    rng, values = random.Random(seed), {}
+
+    def born(name: str, params: dict) -> tuple[str, dict, Strategy]:
+        s = templates[name][0](**params)
+        return name, params, _named(s, s.fingerprint())
+
+    def random_one() -> tuple[str, dict, Strategy]:
+        name = rng.choice(sorted(templates))
+        return born(name, {p.name: p.sample(rng) for p in templates[name][1]})
+
+    people = [random_one() for _ in range(size)]
+    for generation in range(generations + 1):
+        new = {s.id: s for _, _, s in people if s.id not in values}
+        if new:
+            found = metrics(backtest(bars, list(new.values()))).groupBy("strategy_id").agg(F.avg(objective).alias("v")).collect()
+            values |= dict.fromkeys(new, -math.inf) | {r["strategy_id"]: float(r["v"]) for r in found if r["v"] is not None}
+        people = sorted({s.id: (n, p, s) for n, p, s in people}.values(), key=lambda x: -values[x[2].id])
+        if generation == generations:
+            break
+        children = people[:elite]
+        while len(children) < size:
+            a, b = (max(rng.sample(people, min(3, len(people))), key=lambda x: values[x[2].id]) for _ in range(2))
+            params = {k: rng.choice((a[1][k], b[1][k])) for k in a[1]} if a[0] == b[0] else dict(a[1])
+            for p in templates[a[0]][1]:
+                if rng.random() < 0.2:
+                    params[p.name] = p.sample(rng)
+            children.append(born(a[0], params))
+        people = children
+    return [(s, values[s.id]) for _, _, s in people]
+
+
 def _named(strategy: Strategy, name: str) -> Strategy:
     return replace(strategy, id=name)
 
@@ -385,4 +488,4 @@ def factory(templates: dict[str, tuple[Callable[..., Strategy], list[Parameter]]
     return list(out.values())
 
 
-__all__ = ["discover", "factory", "pareto_front", "sweep"]
+__all__ = ["discover", "evolve", "factory", "optimise", "pareto_front", "sweep"]
