@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages over documents, each on all that the one before it kept.
+"""The corpus pipeline: five stages over documents, each on all that the one before it kept; the last gives words to take, not texts.
 
 1. toxicity: documents that the toxicity model rejects go.
 2. near duplicates: of each group by five-word shingles and similarity 0.8, the document of least id stays.
@@ -7,7 +7,7 @@
 5. mixing: words to take of each document so that sources come to their target weights.
 
 run() writes each stage's rows as Parquet into the shared folder and reads them again, so a lost executor never costs more than
-one stage.
+one stage; the rows of the stage before are deleted then.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, mixing, ngram_join, suffix_dedup, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import removed, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            removed(last)
+        last = docs
     return docs
