@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
-Vectors become integers floor(scale * x). Every row is dealt by its nearest of a few pivots (a bounded sample) into slices of about
+Vectors become integers floor(scale * x). Every row is dealt by its nearest of some pivots (a bounded sample, chained by nearness) into slices of about
 `slice_rows` neighbouring rows; each slice becomes one cover tree of base 1.3: a node's children have centres that lie further apart
 than their level's radius and cover its points within that radius, and the node's own centre is one of them. Where more than `fan`
 centres would be needed, the points are too far apart for any bound, and the node stays a leaf. Queries become
@@ -245,6 +245,21 @@ def _root_pairs(asks: DataFrame, data: DataFrame, best: int | None, block: int =
     return both.mapInArrow(run, "q long, d long, bound double")
 
 
+def chained(points: list[np.ndarray]) -> list[np.ndarray]:
+    """points in an order in which neighbours are near: each is followed by the nearest one left of its length."""
+    out: list[np.ndarray] = []
+    for n in sorted({len(p) for p in points}):
+        left = np.array([p for p in points if len(p) == n], dtype=np.float64).reshape(-1, n)
+        at = 0
+        while len(left):
+            last, left = left[at], np.delete(left, at, axis=0)
+            out.append(last)
+            if len(left):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    at = int(np.nan_to_num(((left - last) ** 2).sum(axis=1), nan=np.inf).argmin())
+    return out
+
+
 _FOUND = ["query_id", "print", "vec_id", "score"]
 
 
@@ -298,8 +313,11 @@ def _rest(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", embedding: str = "embedding", scale: int = 1024, pivots: int = 32, slice_rows: int = 4096, query_rows: int = 512, first: int = 2) -> DataFrame:
-    """The k best rows of vectors for each row of queries: query_id, rank, vec_id, score."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", embedding: str = "embedding", scale: int = 1024, pivots: int = 1024, slice_rows: int = 4096, query_rows: int = 512, first: int = 2) -> DataFrame:
+    """The k best rows of vectors for each row of queries: query_id, rank, vec_id, score.
+
+    pivots: at most so many rows, and no more than one for every quarter of a slice, are collected to deal the rows by.
+    """
     spark = vectors.sparkSession
 
     def valid(df: DataFrame) -> DataFrame:
@@ -309,7 +327,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
 
     rows = valid(vectors)
     place = F.xxhash64("id", F.lit(3))
-    sample = [np.array(r["x"]) for r in rows.withColumn("h", place).orderBy("h", "id").limit(pivots).select("x").collect()]
+    n_rows = rows.count()
+    pivots = min(pivots, max(32, 4 * n_rows // slice_rows))
+    sample = chained([np.array(r["x"]) for r in rows.withColumn("h", place).orderBy("h", "id").limit(pivots).select("x").collect()])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +351,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     schema = "id long, x binary, n int, cell int"
     dealt = rows.mapInArrow(deal, schema)
     asked = valid(queries).distinct().mapInArrow(deal, schema)
-    n_rows = rows.count()
     spread = dealt.repartitionByRange(max(1, -(-n_rows // slice_rows)), "n", "cell", place, "id")
     with Tables() as tables:
         data = tables.written(spread.mapInArrow(_leaves("data", slice_rows), _TREE), "data-trees")
