@@ -1,11 +1,12 @@
 """N-gram Jaccard join by universe partition and pigeonhole; see partitions.py for the signatures and why none is missed.
 
-1. One scan turns each text into its set of shingles and its set's signatures. Equal sets are one class (a 64-bit hash of the
-   set; with n sets two different ones meet by chance with n^2 / 2^65). What goes to one shuffle partition from one Arrow batch
-   is one packed row: 8 bytes a signature.
+1. One scan turns each text into its set of shingles and its set's signatures. Equal sets are one class (a 128-bit hash of the
+   set), whose signatures a task sends once. Sets that share a signature are grouped in the task already where `hot` or more of a
+   block have it: they become a star, and only its centre goes on, so what a signature of a third of all rows sends is a few rows a
+   task. What goes to one partition from one block is one packed row: 8 bytes a signature.
 2. A partition sorts its signatures; classes under one signature form a group, sent on as a star around the class that most groups have.
-3. Star edges are verified: first by parity bits (differing bits are a lower bound of differing members), then by
-   the sets, which are made anew only for classes that have edges.
+3. Star edges are verified: first by parity bits (differing bits are a lower bound of differing members), which the scan has made,
+   then by the sets, which are made anew only for classes of edges that the bits leave open.
 4. Verified links give components. In a group that still spans several components, members outside its largest one are
    compared with all others by their parity bits, in blocks of bounded size. Of what may link, first just enough pairs to
    connect the group are verified, then, where components are still apart, all: with that every pair that shares a
@@ -13,10 +14,14 @@
 5. A class's component is its smallest document id.
 
 Copies never multiply: classes are told apart before anything is grouped. Nothing is collected but counts; ids of documents
-whose sets are needed are broadcast while they are few (`most_broadcast`), else joined by shuffle.
+whose sets are needed are broadcast while they are few (`most_broadcast`), else joined by shuffle. Partitions are as many as
+spark.sql.shuffle.partitions, or more where 64 MB of text or more would come to one. Tables written on the way are deleted when the
+result stands. Classes are numbered as they are read: docs should be a table, or another plan whose partitions bring the same rows in
+the same order when a lost task is run again.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; with fewer than k words the whole
-sequence is the one shingle; rows without an id have no component and take no part; rows of one id are nodes of their own.
+sequence is the one shingle; rows without an id have no component and take no part; rows of one id are nodes of their own. Shingles are
+64-bit hashes: that two texts differ only in shingles of one hash has a chance of 2^-64 a pair of shingles compared.
 """
 
 from __future__ import annotations
@@ -27,107 +32,191 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidemark.llm.common import parts, parts_of, table, written
+from tidemark.llm.common import Tables, parts, parts_of, release, removed, table, written
 from tidemark.llm.components import components
 from tidemark.llm.partitions import signatures
 from tidemark.llm.shingles import U, shingle_set
 
 LEAST_BITS = 512
-DOC, EDGE, MEMBER = 0, 1, 2
+DOC, CLASS, EDGE, MEMBER = 0, 1, 2, 3
 _AT_ONCE = 400
-_BLOCK = 4096
+_SEEN = 300_000
+_BLOCK = 2048
 _CLASS = "class of its words, while copies are told apart"
+_ROWS = "kind int, a long, b long, n long, c binary, bits binary"
 
 
-def class_of(members: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+def class_of(members: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(members.tobytes())
 
 
-def _scan(k: int, percent: int, buckets: int):
-    """Packed rows: bucket 0.. holds signatures (shortened by what the bucket says) with classes; documents go along."""
+def _rows(kind: int, a, b=None, n=None, c=None, bits=None) -> pa.RecordBatch:
+    given = (("a", a, pa.int64()), ("b", b, pa.int64()), ("n", n, pa.int64()), ("c", c, pa.binary()), ("bits", bits, pa.binary()))
+    columns = [pa.array(np.full(len(a), kind), pa.int32()), *(pa.nulls(len(a), t) if x is None else pa.array(x, t) for _, x, t in given)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", *(g[0] for g in given)])
+
+
+def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First entry and size of each run of equal signatures."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(sig)), dtype=bool), sig[1:] != sig[:-1])))
+    return first, np.diff(np.append(first, len(sig)))
+
+
+def _distinct(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by signature and member, each once."""
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    fresh = np.concatenate((np.ones(min(1, len(sig)), dtype=bool), (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])))
+    return sig[fresh], who[fresh]
+
+
+def _stars(first: np.ndarray, size: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the groups the centre of its star, and the distinct edges (centre, member).
+
+    The centre is the member that most groups have, as the source of many near copies is, and of those the least.
+    """
+    names, number, weight = np.unique(who, return_inverse=True, return_counts=True)
+    rank = np.lexsort((-names, weight))
+    place = np.empty(len(names), dtype=np.int64)
+    place[rank] = np.arange(len(names))
+    hub = np.repeat(names[rank[np.maximum.reduceat(place[number], first)]], size)
+    return hub, np.unique(np.stack((hub[hub != who], who[hub != who]), axis=1), axis=0)
+
+
+class Block:
+    """What one task has read since it last sent: rows about documents and classes, and signatures."""
+
+    def __init__(self, base: int):
+        self.base, self.docs, self.classes = base, [], []
+        self.sig: list[np.ndarray] = []
+        self.who: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, sets: list[np.ndarray], percent: int, total: int) -> None:
+        """The sets of the classes that were last added."""
+        if sets:
+            sig, of = signatures(sets, percent, total)
+            self.sig.append(sig >> U(16))
+            self.who.append(of + (len(self.classes) - len(sets)))
+            self.size += len(sig)
+
+    def packed(self, buckets: int, home: int, many: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, packed): signatures of 48 bits by the bucket that their upper bits say; the rest goes along to bucket `home`.
+
+        Groups of `many` members or more become stars here, and only their centres are sent.
+        """
+        sig, who = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((self.sig, np.uint64), (self.who, np.int64)))
+        sig, who = _distinct(sig, who)
+        first, size = _groups(sig)
+        hot, stars, members = np.zeros(0, dtype=np.uint64), None, None
+        if (size >= many).any():
+            of_hot = np.repeat(size >= many, size)
+            s, w = sig[of_hot], who[of_hot]
+            f, n = _groups(s)
+            hub, star = _stars(f, n, w)
+            hot, stars, members = s[f], star + self.base, (s.astype(np.int64), w + self.base)
+            keep = ~of_hot
+            keep[np.flatnonzero(of_hot)[w == hub]] = True
+            sig, who = sig[keep], who[keep]
+        bucket = ((sig >> U(16)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, who = sig[order], who[order]
+        marked = np.isin(sig, hot)
+        small = np.uint16 if len(self.classes) < 1 << 16 else np.uint32
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.union1d(np.flatnonzero(np.diff(cut)), [home]).tolist():
+            s, w, m = (x[cut[b] : cut[b + 1]] for x in (sig, who, marked))
+            pack = (self.base, s.astype(np.uint32).tobytes(), (s >> U(32)).astype(np.uint16).tobytes(), small is np.uint16, w.astype(small).tobytes(), s[m].tobytes())
+            yield b, pickle.dumps((pack, (self.docs, self.classes, stars, members) if b == home else None), protocol=5)
+
+
+def _scan(k: int, percent: int, buckets: int, total: int, hot: int):
+    """Packed rows for each bucket; see Block. A block is sent when its signatures are worth it: many for each bucket, but bounded.
+
+    A class is numbered by partition, block and place in it.
+    """
+    enough = min(max(200_000, 32 * buckets), 4_000_000)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, bytes]] = []
-            for start in range(0, batch.num_rows, _AT_ONCE):
-                part = batch.slice(start, _AT_ONCE)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = [shingle_set(t, k) for t in texts]
-                classes = [class_of(s) if len(s) else None for s in found]
-                docs = [(i, c, len(s)) for i, c, s in zip(ids, classes, found, strict=True)]
-                distinct = {c: s for c, s, i in zip(classes, found, ids, strict=True) if c is not None and i is not None}
-                names = np.array(list(distinct), dtype=np.int64)
-                sig, of = signatures(list(distinct.values()), percent)
-                bucket = ((sig >> U(32)) % U(buckets)).astype(np.int64)
-                order = np.lexsort((sig, bucket))
-                sig, of, bucket = sig[order], of[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                home = abs(hash(ids[0])) % buckets if ids and ids[0] is not None else 0
-                for b in range(buckets):
-                    s, o = sig[cut[b] : cut[b + 1]], of[cut[b] : cut[b + 1]]
-                    if len(s) or b == home:
-                        used, o = np.unique(o, return_inverse=True)
-                        packed = ((s >> U(16)).astype(np.uint32).tobytes(), (s >> U(48)).astype(np.uint16).tobytes(), o.astype(np.uint16).tobytes(), names[used].tobytes())
-                        out.append((b, pickle.dumps((packed, docs if b == home else None), protocol=5)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
+        seen: dict[bytes, int] = {}
+        part_no, block_no = TaskContext.get().partitionId(), 0
+
+        def send(block: Block) -> pa.RecordBatch:
+            out = list(block.packed(buckets, (part_no + 7919 * block_no) % buckets, hot))
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
+
+        block = Block(part_no << 40)
+        for part in parts_of(batches, _AT_ONCE):
+            sets: list[np.ndarray] = []
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = shingle_set(t, k)
+                c = class_of(found) if len(found) else None
+                if c is not None and i is not None and c not in seen:
+                    seen[c] = block.base + len(block.classes)
+                    sets.append(found)
+                    block.classes.append((seen[c], len(found), c, parity(found)))
+                block.docs.append((i, seen.get(c) if i is not None else None, len(found)))
+            block.add(sets, percent, total)
+            if len(seen) > _SEEN:
+                seen.clear()  # from here on a class may come again under another number
+            if block.size >= enough or len(block.docs) >= 20_000:
+                yield send(block)
+                block_no += 1
+                block = Block(part_no << 40 | block_no << 20)
+        if block.docs:
+            yield send(block)
+        release()
 
     return scan
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, b, n): documents (id, class, size), star edges (class, class), members of larger groups (group, class)."""
-    schema = ["kind", "a", "b", "n"]
-
-    def rows(kind: int, a, b, n=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n if n is not None else [None] * len(a), pa.int64())], names=schema)
-
+    """Documents (id, class, size), classes (number, size, hash, bits), star edges (class, class), members of larger groups (group, class)."""
     held: dict[int, list] = {}
     for batch in batches:
-        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            pack, docs = pickle.loads(packed)
-            if docs:
-                yield rows(DOC, [d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs])
-            held.setdefault(bucket, []).append(pack)
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            pack, rest = pickle.loads(packed.as_buffer())
+            if rest:
+                docs, classes, stars, members = rest
+                yield _rows(DOC, *([d[n] for d in docs] for n in range(3)))
+                if classes:
+                    yield _rows(CLASS, [c[0] for c in classes], n=[c[1] for c in classes], c=[c[2] for c in classes], bits=[c[3] for c in classes])
+                if stars is not None:
+                    yield _rows(EDGE, stars[:, 0], stars[:, 1])
+                    yield _rows(MEMBER, *members)
+            if pack[1]:
+                held.setdefault(bucket, []).append(pack)
     for bucket in list(held):
         packs = held.pop(bucket)
-        low = np.concatenate([np.frombuffer(p[0], np.uint32) for p in packs]).astype(np.uint64)
-        sig = low | (np.concatenate([np.frombuffer(p[1], np.uint16) for p in packs]).astype(np.uint64) << U(32))
-        who = np.concatenate([np.frombuffer(p[3], np.int64)[np.frombuffer(p[2], np.uint16)] for p in packs])
-        del packs, low
-        if not len(sig):
-            continue
+        sig = np.concatenate([np.frombuffer(p[1], np.uint32) for p in packs]).astype(np.uint64)
+        sig |= np.concatenate([np.frombuffer(p[2], np.uint16) for p in packs]).astype(np.uint64) << U(32)
+        who = np.concatenate([np.frombuffer(p[4], np.uint16 if p[3] else np.uint32).astype(np.int64) + p[0] for p in packs])
+        hot_sig = np.unique(np.concatenate([np.frombuffer(p[5], np.uint64) for p in packs]))
+        del packs
         order = np.argsort(sig, kind="stable")
         sig, who = sig[order], who[order]
         again = np.concatenate(([False], sig[1:] == sig[:-1]))
         shared = again | np.concatenate((again[1:], [False]))
-        sig, who = sig[shared], who[shared]
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        fresh = np.concatenate((np.ones(min(1, len(sig)), dtype=bool), (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])))
-        sig, who = sig[fresh], who[fresh]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(sig)), dtype=bool), sig[1:] != sig[:-1])))
-        size = np.diff(np.append(first, len(sig)))
-        # the centre of a star is the member that most groups of the bucket have, as the source of many near copies is
-        names, number, weight = np.unique(who, return_inverse=True, return_counts=True)
-        if len(first):
-            rank = np.lexsort((-names, weight))
-            place = np.empty(len(names), dtype=np.int64)
-            place[rank] = np.arange(len(names))
-            hub = np.repeat(names[rank[np.maximum.reduceat(place[number], first)]], size)
-        else:
-            hub = who
-        star = np.unique(np.stack((hub[hub != who], who[hub != who]), axis=1), axis=0)
-        if len(star):
-            yield rows(EDGE, star[:, 0], star[:, 1])
+        sig, who = _distinct(sig[shared], who[shared])
+        if not len(sig):
+            continue
+        first, size = _groups(sig)
+        _, star = _stars(first, size, who)
+        yield _rows(EDGE, star[:, 0], star[:, 1])
+        hot = np.isin(sig[first], hot_sig) if len(hot_sig) else np.zeros(len(first), dtype=bool)
         groups: dict[int, np.ndarray] = {}
-        for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            groups[class_of(who[f : f + n])] = who[f : f + n]
+        many = (size > 2) | hot & (size > 1)
+        for f, n, h in zip(first[many].tolist(), size[many].tolist(), hot[many].tolist(), strict=True):
+            # where members were named by tasks, the group has its signature's name, else one that equal groups have in common
+            groups[int(sig[f]) if h else xxhash.xxh3_64_intdigest(who[f : f + n].tobytes()) - (1 << 63)] = who[f : f + n]
         if groups:
-            yield rows(MEMBER, np.repeat(np.array(list(groups), dtype=np.int64), [len(g) for g in groups.values()]), np.concatenate(list(groups.values())))
+            yield _rows(MEMBER, np.repeat(np.array(list(groups), dtype=np.int64), [len(g) for g in groups.values()]), np.concatenate(list(groups.values())))
+    release()
 
 
 def parity(members: np.ndarray) -> bytes:
@@ -152,13 +241,12 @@ def may_link(a, b, apart, percent: int):
 
 
 def _sets(k: int):
+    """(number, set) of texts given with the number of their class; a text of another class under the same id is left out."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _AT_ONCE):
-                found = [s for t in batch.column(0).slice(start, _AT_ONCE).to_pylist() if len(s := shingle_set(t, k))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "n", "bits", "members"]
-                )
+        for part in parts_of(batches, _AT_ONCE):
+            found = [(no, s) for t, no, c in zip(*(part.column(n).to_pylist() for n in ("t", "no", "c")), strict=True) if len(s := shingle_set(t, k)) and class_of(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([no for no, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["no", "members"])
 
     return make
 
@@ -184,6 +272,11 @@ def _forest(apart: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return np.array(kept, dtype=np.int64)
 
 
+def _pairs(found) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["u", "v"])
+
+
 def _across(percent: int, forest: bool):
     """Pairs of a group's outside members (side 0) with all its members (side 1) under other labels that may link by their parities;
     with `forest`, no more of them than could join the group's labels.
@@ -219,27 +312,32 @@ def _across(percent: int, forest: bool):
                     held, block = [], (g, i, j)
                 held.append(tuple(row))
             if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["u", "v"])
+                yield _pairs(found)
                 found = set()
         found.update(compare(held))
-        yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["u", "v"])
+        yield _pairs(found)
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that link."""
-    side = lambda name, *columns: sets.select(F.col("c").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    near = pairs.join(side("u", "n", "bits"), "u").join(side("v", "n", "bits"), "v")
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that may link by their parities."""
+    side = lambda name: classes.select(F.col("no").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("u_n", "v_n", "u_bits", "v_bits")), strict=True):
-                bits = folded([x, y])
-                good.append(may_link(a, b, int(np.bitwise_count(bits[0] ^ bits[1]).sum()), percent))
+                good.append(min(a, b) * 100 >= percent * max(a, b) and may_link(a, b, int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()), percent))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(by_bits, "u long, v long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that link."""
+    side = lambda name: sets.select(F.col("no").alias(name), F.col("members").alias(f"{name}_members"))
+
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
             good = []
@@ -250,62 +348,89 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * met >= percent * (len(both) - met))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    likely = near.select("u", "v", "u_n", "v_n", "u_bits", "v_bits").mapInArrow(by_bits, "u long, v long")
-    full = likely.join(side("u", "members"), "u").join(side("v", "members"), "v")
+    full = pairs.join(side("v"), "v").join(side("u"), "u")
     return full.select("u", "v", "u_members", "v_members").mapInArrow(by_sets, "u long, v long")
 
 
-def _candidates(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _candidates(members: DataFrame, label: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (u, v) of classes that share a group, have different labels and may link by their parities; see _across."""
-    placed = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    placed = members.join(label.withColumnRenamed("node", "no"), "no", "left").withColumn("label", F.coalesce("label", "no"))
     by_label = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = by_label.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("labels") > 1)
-    split = split.select("g", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("columns"))
-    open_ = placed.join(split, "g").join(sets.select("c", "n", "bits"), "c")
-    nth = lambda of: F.pmod(F.xxhash64("c"), F.col(of)).cast("int")
+    split = by_label.groupBy("g").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("labels") > 1)
+    main = by_label.join(split.select("g", F.col("most").alias("n")), ["g", "n"]).groupBy("g").agg(F.min("label").alias("main"))
+    split = split.join(main, "g").select("g", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("columns"))
+    open_ = placed.join(split, "g").join(classes.select("no", "n", "bits"), "no")
+    nth = lambda of: F.pmod(F.xxhash64("no"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    row = [F.lit(0).alias("side"), "c", "label", "n", "bits"]
+    row = [F.lit(0).alias("side"), "no", "label", "n", "bits"]
     outside = open_.where(F.col("label") != F.col("main")).select("g", nth("rows").alias("i"), each("columns").alias("j"), *row)
     everyone = open_.select("g", each("rows").alias("i"), nth("columns").alias("j"), F.lit(1).alias("side"), *row[1:])
     blocks = outside.unionByName(everyone).repartition(parts(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
     return blocks.mapInArrow(_across(percent, forest), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row per row of docs: key (as long), n_shingles, component_id, class."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 500_000, hot: int = 16) -> DataFrame:
+    """One row per row of docs: key (as long), n_shingles, component_id, class, and component (a number, which tells components of one id apart)."""
     spark = docs.sparkSession
-    buckets = parts(spark)
     slim = docs.select(F.col(key).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    packed = slim.mapInArrow(_scan(k, percent, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    met = written(packed.mapInArrow(_meet, "kind int, a long, b long, n long"), "signatures")
-    rows = met.where(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("c"), "n")
-    edges = met.where(F.col("kind") == EDGE).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("g"), F.col("b").alias("c")).distinct()
-
-    ends = edges.select(F.col("u").alias("c")).unionByName(edges.select(F.col("v").alias("c"))).distinct()
-    least = rows.where(F.col("id").isNotNull() & F.col("c").isNotNull()).groupBy("c").agg(F.min("id").alias("id"))
-    needed = written(least.join(ends, "c").select(F.col("id").alias("i")).distinct(), "needed")
-    chosen = slim.join(F.broadcast(needed) if needed.count() <= most_broadcast else needed, "i", "left_semi").select("t")
-    sets = written(chosen.mapInArrow(_sets(k), "c long, n long, bits binary, members binary").dropDuplicates(["c"]), "sets")
-
-    links = written(_verify(edges, sets, percent), "links")
-    label, tried = components(links), edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for forest in (True, False):
-        across = written(_candidates(members, label, sets, percent, forest).join(tried, ["u", "v"], "left_anti"), "across")
-        if not across.take(1):
-            continue  # the nearest pairs may all have been tried, which says nothing of the others
-        more = written(_verify(across, sets, percent), "links")
-        if more.take(1):
-            links = links.unionByName(more)
-            label = components(links)
-        tried = tried.unionByName(across)
-
-    component = least.join(label.withColumnRenamed("node", "c"), "c").groupBy("label").agg(F.min("id").alias("component"))
-    named = label.join(component, "label").select(F.col("node").alias("cn"), "component")
-    named = least.join(named, F.col("c") == F.col("cn"), "left").select("c", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(named, "c", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("c").alias("class"))
+    total, n_bytes = slim.agg(F.count(F.lit(1)), F.sum(F.octet_length("t").cast("long"))).first()
+    buckets = parts(spark, n_bytes or 0)
+    few = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    with Tables() as tables:
+        packed = slim.mapInArrow(_scan(k, percent, buckets, total, hot), "bucket int, packed binary").repartitionById(buckets, "bucket")
+        met = tables.written(packed.mapInArrow(_meet, _ROWS), "signatures", "kind")
+        seen = met.where(F.col("kind") == CLASS).select(F.col("a").alias("no"), "n", "c", "bits")
+        # a class that several blocks have goes by its least number
+        first = seen.groupBy("c").agg(F.min("no").alias("own"))
+        numbered = tables.written(seen.join(first, "c"), "numbers")
+        others = tables.written(numbered.where("no <> own").select("no", "own"), "other-numbers")
+        others = few(others)
+
+        def by_class(df: DataFrame, column: str) -> DataFrame:
+            joined = df.join(others, df[column] == others["no"], "left").drop("no")
+            return joined.withColumn(column, F.coalesce("own", column)).drop("own")
+
+        rows = by_class(met.where(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("number"), "n"), "number")
+        each = rows.where(F.col("id").isNotNull() & F.col("number").isNotNull()).groupBy("number", "id").agg(F.count(F.lit(1)).alias("copies"))
+        least = each.groupBy(F.col("number").alias("no")).agg(F.min("id").alias("id"), F.max("copies").alias("copies"))
+        classes = tables.written(numbered.where("no = own").drop("own").join(least, "no"), "classes")
+        # most edges come from many partitions; they are brought to one before anything is joined
+        edges = met.where(F.col("kind") == EDGE).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        edges = by_class(by_class(edges, "x"), "y").where("x <> y")
+        edges = edges.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        members = by_class(met.where(F.col("kind") == MEMBER).select(F.col("a").alias("g"), F.col("b").alias("number")), "number").withColumnRenamed("number", "no").distinct()
+
+        def sets_of(pairs: DataFrame, made: DataFrame | None) -> DataFrame:
+            ends = pairs.select(F.col("u").alias("no")).unionByName(pairs.select(F.col("v").alias("no"))).distinct()
+            ends = ends if made is None else ends.join(made.select("no"), "no", "left_anti")
+            needed = tables.written(classes.join(ends, "no").select(F.col("id").alias("i"), "no", "c", "copies"), "needed")
+            sets = slim.join(few(needed.select("i", "no", "c")), "i").select("t", "no", "c").mapInArrow(_sets(k), "no long, members binary")
+            if needed.where("copies > 1").take(1):  # rows that repeat an id with its text
+                sets = sets.dropDuplicates(["no"])
+            sets = tables.written(sets, "sets")
+            return sets if made is None else made.unionByName(sets)
+
+        tried = tables.written(_likely(edges, classes, percent), "likely")
+        sets = sets_of(tried, None)
+        links = tables.written(_verify(tried, sets, percent), "links")
+        label = components(links, tables)
+        for forest in (True, False):
+            across = tables.written(_candidates(members, label, classes, percent, forest).join(tried, ["u", "v"], "left_anti"), "across")
+            if not across.take(1):
+                continue  # the nearest pairs may all have been tried, which says nothing of the others
+            sets = sets_of(across, sets)
+            more = tables.written(_verify(across, sets, percent), "links")
+            if more.take(1):
+                links = links.unionByName(more)
+                label = components(links, tables)
+            tried = tried.unionByName(across)
+
+        least = classes.join(label.withColumnRenamed("node", "no"), "no").groupBy("label").agg(F.min("id").alias("least"))
+        linked = label.join(least, "label").select(F.col("node").alias("no"), "least", "label")
+        named = classes.join(linked, "no", "left").select(F.col("no").alias("number"), F.coalesce("least", "id").alias("component_id"), F.coalesce("label", "no").alias("component"), "c")
+        out = rows.join(named, "number", "left")
+        own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+        return written(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("c").alias("class"), "component"), "near-duplicates")
 
 
 def _with_class(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -314,28 +439,32 @@ def _with_class(docs: DataFrame, text: str, k: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
             found = [shingle_set(t, k) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) if len(s) else None for s in found], pa.binary())], names=names)
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(_CLASS, LongType())]))
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(_CLASS, BinaryType())]))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, most_broadcast: int = 500_000) -> DataFrame:
     """docs with one document of each group of near duplicates, the one of least id; all columns stay.
 
-    Rows without an id or without words are in no group and stay; of rows with one id, those with equal sets are one document.
+    Rows without an id or without words are in no group and stay; of rows with one id, those of one group are one document, and those of
+    other groups are judged each on its own.
     """
-    found = written(near_duplicates(docs, key, text, k, percent, most_broadcast), "components")
-    gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    found = near_duplicates(docs, key, text, k, percent, most_broadcast)
+    known = found.where(F.col(key).isNotNull() & F.col("class").isNotNull()).select(F.col(key).alias("_id"), F.col("class").alias("_class"), F.col("component_id").alias("_least"), F.col("component").alias("_component"))
+    again = written(known.groupBy("_id").count().where("count > 1").select("_id"), "again")
+    gone = written(known.where("_id <> _least").select("_id").distinct().join(again, "_id", "left_anti"), "gone")
+    some = again.take(1)
+    stays = written(known.join(again, "_id", "left_semi").where("_id = _least").groupBy("_id", "_component").agg(F.min("_class").alias("_class")), "stays") if some else None
+    removed(found)
     small = lambda ids: F.broadcast(ids) if ids.count() <= most_broadcast else ids
-    gone = small(gone)
-    kept = docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
-    again = written(found.where(F.col(key).isNotNull() & F.col("class").isNotNull()).groupBy(key, "class").count().where("count > 1").select(F.col(key).alias("_again")).distinct(), "again")
-    if not again.take(1):
+    kept = docs.join(small(gone), docs[key].cast("long") == gone["_id"], "left_anti")
+    if not some:
         return kept
     again = small(again)
-    match = kept[key].cast("long") == again["_again"]
+    match = kept[key].cast("long") == again["_id"]
     repeated = _with_class(kept.join(again, match, "left_semi"), text, k)
-    alike = repeated.where(F.col(_CLASS).isNotNull()).dropDuplicates([key, _CLASS])
+    alike = repeated.join(stays, (repeated[key].cast("long") == stays["_id"]) & (repeated[_CLASS] == stays["_class"]), "left_semi").dropDuplicates([key, _CLASS])
     return kept.join(again, match, "left_anti").unionByName(alike.unionByName(repeated.where(F.col(_CLASS).isNull())).drop(_CLASS))
 
 

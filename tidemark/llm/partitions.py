@@ -87,8 +87,12 @@ def _sums(segment: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return low + (np.mod(high, 2.0**32).astype(np.uint64) << U(32))
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set), for all sets at once; sets are arrays of distinct hashes."""
+def signatures(sets: list[np.ndarray], percent: int, total: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of its set), for all sets at once; sets are arrays of distinct hashes, of a corpus of `total` sets.
+
+    All sets of a corpus must be given the same total.
+    """
+    corpus = float(10 ** len(str(max(1, total) - 1)))  # few different plans, and all of one corpus the same
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     if not len(owner):
@@ -98,7 +102,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     band = np.searchsorted(bands(percent), sizes, side="right") - 1
     out_sig, out_set = [], []
     for scheme in (band, band - 1):
-        plan = np.array([allocate(int(s), percent) if s >= 0 and n else (0, 0, 0, 0) for s, n in zip(scheme, sizes, strict=True)], dtype=np.int64).reshape(-1, 4)
+        plan = np.array([allocate(int(s), percent, sets=corpus) if s >= 0 and n else (0, 0, 0, 0) for s, n in zip(scheme, sizes, strict=True)], dtype=np.int64).reshape(-1, 4)
         m, slack, least, wide = plan.T
         base = np.concatenate(([0], np.cumsum(m)))
         own = m[owner] > 0
