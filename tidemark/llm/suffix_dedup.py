@@ -5,22 +5,26 @@ shards are made by content: of the `gram`-byte windows inside a string of `lengt
 equal) is its anchor; equal strings have equal anchors, so all places of a string come to the shard of its anchor, and each
 place (document, start) comes to exactly one shard.
 
-1. One scan finds anchors (about 1.5 % of the positions at length 200) and sends 8 bytes each to the partition of its hash, which
-   says which anchors occur again. Nearly all text ends here.
-2. Texts meet their repeated anchors by a hash join. For each, the stretch of text whose strings have that anchor goes to the
-   anchor's partition, equal stretches of a batch as one with the list of their places.
-3. A partition makes shards of its distinct stretches of `shard_bytes` at most. A shard's suffix array to depth `length`
+1. One scan finds anchors (about 1.5 % of the positions at length 200). An anchor that a block of texts has twice is known to occur
+   again; once a block, 8 bytes go to the partition of its hash, which says of the others which occur again. Nearly all text ends here.
+2. Anchors with `hot` places or more, as passages that many documents share have, are looked at closely: the same is done with the
+   64-bit hashes of their strings, and only strings whose hash occurs again go on. What is left of such a passage is equal in all its
+   documents, while its different surroundings would make as many stretches as there are documents.
+3. Texts meet their repeated anchors by a hash join. For each, the stretch of text whose strings have that anchor goes to the
+   anchor's partition. A stretch that a block has twice is covered at once, and goes on once, without places.
+4. A partition makes shards of its distinct stretches of `shard_bytes` at most. A shard's suffix array to depth `length`
    comes by Larsson-Sadakane refinement in numpy: ranks by 8 bytes, then by doubling, only groups not yet apart being sorted.
    Common prefixes of neighbours follow Kasai: where both neighbours' predecessors are neighbours too, the prefix is one
    shorter; other places are compared. Neighbours with `length` bytes in common are one string. Shards take whole anchors;
    where one anchor needs several shards, their strings meet by binary search in the sorted lists.
-4. Covered ranges go back to their document, which is cut.
+5. Covered ranges go back to their document, which is cut.
 
-The text is shuffled once (both joins read the same exchange). A passage that a third of all documents share is sent once a
-batch, with 16 bytes a place; no group's text is gathered.
+The text is shuffled once (all joins read the same exchange). Of a passage that a third of all documents share, each block sends a
+row for each anchor, and a range to each document; no group's text or places are gathered. Partitions are as many as
+spark.sql.shuffle.partitions, or more where 64 MB of text or more would come to one.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts shorter than `length` lose nothing; equal rows are
-each other's elsewhere; a row is known by a 64-bit hash of id and text, which null ids and repeated ids do not disturb.
+each other's elsewhere; a row is known by a 128-bit hash of id and text, which null ids and repeated ids do not disturb.
 """
 
 from __future__ import annotations
@@ -31,15 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts, parts_of, table
+from tidemark.llm.common import Tables, parts, parts_of, release, table, text_bytes, written
 from tidemark.llm.shingles import U, _tables, mix
 
 _LOW = U((1 << 20) - 1)
 _CHUNK = (1 << 18) - 4096
-_AT_ONCE = 2000
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,71 +78,212 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(16)).astype(np.int64)
+    return hashes >> U(16)
 
 
-def _send_anchors(length: int, gram: int, buckets: int):
+def strings(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of `length` bytes that start from first to last (whole ranges, one after the other)."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        part = data[a : b + length]
+        up, down = _tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + U(1)) * up[: len(part)], out=sums[1:])
+        out.append(mix((sums[length:] - sums[:-length]) * down[: b + 1 - a]))
+    return np.concatenate(out)
+
+
+def _names(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(-1, 2)
+
+
+def _packed_rows(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
+
+
+def _by_row(found: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(row in two numbers, from, to), packed by the bucket of the row."""
+    home = (found[:, 0].view(np.uint64) >> U(20)) % U(buckets)
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(buckets + 1))
+    return _packed_rows([(b, found[order[cut[b] : cut[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()])
+
+
+def _send(keys_of, buckets: int, starts: bool):
+    """Packed rows for each bucket: of each key (48 bits of a hash) of a block its number there and one of the rows that have it;
+    to one bucket also what is known already: (row, key) of keys that the block has more than once, or with `starts` ranges (row, from, to)
+    of them."""
+    enough = min(max(200_000, 32 * buckets), 4_000_000)
+
+    def packed(names: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray, home: int) -> pa.RecordBatch:
+        order = np.argsort(h, kind="stable")
+        h, at, owner = h[order], at[order], owner[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1])))
+        size = np.diff(np.append(first, len(h)))
+        known, rest = np.repeat(size > 1, size), None
+        if known.any():
+            if starts:
+                rest = merged(np.column_stack((names[owner[known]].view(np.int64), at[known], at[known] + 1))).tobytes()
+            else:
+                pairs = np.stack((h[known], owner[known].astype(np.uint64)), axis=1)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
+                rest = names[pairs[:, 1].astype(np.int64)].tobytes(), pairs[:, 0].tobytes()
+        h, at, owner, many = h[first], at[first], owner[first], np.minimum(size, 255).astype(np.uint8)
+        bucket = (h >> U(16)) % U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        h, at, owner, many = h[order], at[order], owner[order], many[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = []
+        for b in np.union1d(np.flatnonzero(np.diff(cut)), [home] if rest else []).astype(np.int64).tolist():
+            own = slice(cut[b], cut[b + 1])
+            used, who = np.unique(owner[own], return_inverse=True)
+            small = np.uint16 if len(used) < 1 << 16 else np.uint32
+            pack = (h[own].astype(np.uint32).tobytes(), (h[own] >> U(32)).astype(np.uint16).tobytes(), many[own].tobytes(), small is np.uint16, who.astype(small).tobytes(), names[used].tobytes(), at[own].astype(np.uint32).tobytes() if starts else b"")
+            out.append((b, pickle.dumps((*pack, rest if b == home else None), protocol=5)))
+        return _packed_rows(out)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _AT_ONCE):
-                part = batch.slice(start, _AT_ONCE)
-                names = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                found = [anchors(_bytes(t), length, gram)[0] for t in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                h = np.concatenate(found)
-                bucket = (h % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, owner, bucket = h[order], owner[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = []
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    used, who = np.unique(owner[cut[b] : cut[b + 1]], return_inverse=True)
-                    s = h[cut[b] : cut[b + 1]]
-                    out.append((b, pickle.dumps(((s >> U(16)).astype(np.uint32).tobytes(), (s >> U(48)).astype(np.uint16).tobytes(), who.astype(np.uint16).tobytes(), names[used].tobytes()), protocol=5)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
+        names, keys, at, size, home = [], [], [], 0, TaskContext.get().partitionId()
+
+        def send() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            return packed(_names(names), np.concatenate(keys), np.concatenate(at) if starts else np.zeros(len(owner), dtype=np.int64), owner, home % buckets)
+
+        for part in parts_of(batches):
+            for name, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found, places = keys_of(*row)
+                names.append(name)
+                keys.append(_short(found))
+                at.append(places)
+                size += len(found)
+                if size >= enough or len(names) >= 50_000:
+                    yield send()
+                    names, keys, at, size, home = [], [], [], 0, home + 7919
+        if names:
+            yield send()
+        release()
 
     return scan
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, anchor) of anchors that occur more than once."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(pickle.loads(packed))
-    for bucket in list(held):
-        packs = held.pop(bucket)
-        sig = np.concatenate([np.frombuffer(p[0], np.uint32) for p in packs]).astype(np.uint64)
-        sig |= np.concatenate([np.frombuffer(p[1], np.uint16) for p in packs]).astype(np.uint64) << U(32)
-        row = np.concatenate([np.frombuffer(p[3], np.int64)[np.frombuffer(p[2], np.uint16)] for p in packs])
-        order = np.argsort(sig, kind="stable")
-        sig, row = sig[order], row[order]
-        same = np.concatenate(([False], sig[1:] == sig[:-1]))
-        shared = same | np.concatenate((same[1:], [False]))
-        found = np.unique(np.stack((row[shared], sig[shared].astype(np.int64)), axis=1), axis=0)
-        for start in range(0, len(found), 100_000):
-            part = found[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0], pa.int64()), pa.array(part[:, 1], pa.int64())], names=["row", "anchor"])
+def _again(hot: int, buckets: int, starts: bool):
+    """(row, key) of keys that occur more than once, and (null, key) of those that occur `hot` times or more; with `starts` ranges of
+    places whose key occurs more than once, packed by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(names: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(keys), 100_000):
+                part = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[part]], pa.binary()), pa.array(keys[part].astype(np.int64), pa.int64())], names=["row", "key"])
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                *pack, rest = pickle.loads(packed.as_buffer())
+                if rest and starts:
+                    yield _by_row(np.frombuffer(rest, np.int64).reshape(-1, 4), buckets)
+                elif rest:
+                    yield from rows(np.frombuffer(rest[0], np.uint64).reshape(-1, 2), np.frombuffer(rest[1], np.uint64))
+                held.setdefault(bucket, []).append(pack)
+        for bucket in list(held):
+            packs = held.pop(bucket)
+            key = np.concatenate([np.frombuffer(p[0], np.uint32) for p in packs]).astype(np.uint64)
+            key |= np.concatenate([np.frombuffer(p[1], np.uint16) for p in packs]).astype(np.uint64) << U(32)
+            many = np.concatenate([np.frombuffer(p[2], np.uint8) for p in packs]).astype(np.int64)
+            names = [np.frombuffer(p[5], np.uint64).reshape(-1, 2) for p in packs]
+            base = np.cumsum([0, *map(len, names)])
+            who = np.concatenate([np.frombuffer(p[4], np.uint16 if p[3] else np.uint32).astype(np.int64) + at for p, at in zip(packs, base[:-1], strict=True)])
+            at = np.concatenate([np.frombuffer(p[6], np.uint32) for p in packs]).astype(np.int64)
+            del packs
+            if not len(key):
+                continue
+            names = np.concatenate(names)
+            order = np.argsort(key, kind="stable")
+            key, who, many = key[order], who[order], many[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            total = np.add.reduceat(many, first)
+            learns = np.repeat(total > 1, np.diff(np.append(first, len(key)))) & (many == 1)
+            if starts:
+                if learns.any():
+                    at = at[order][learns]
+                    yield _by_row(merged(np.column_stack((names[who[learns]].view(np.int64), at, at + 1))), buckets)
+                continue
+            yield from rows(names[who[learns]], key[learns])
+            often = key[first[total >= hot]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.binary()), pa.array(often.astype(np.int64), pa.int64())], names=["row", "key"])
+
+    return run
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from first to last, range by range."""
+    many = last - first + 1
+    return np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _hot_strings(data: np.ndarray, hot: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of all strings of data under hot anchors."""
+    h, first, last = anchors(data, length, gram)
+    mine = np.isin(_short(h), hot)
+    return strings(data, first[mine], last[mine], length), _spread(first[mine], last[mine])
 
 
 def _send_stretches(length: int, gram: int, buckets: int):
+    """Packed rows for each bucket: distinct stretches (anchor, bytes, place); to one bucket also ranges that are covered already."""
+
+    def packed(found: dict[tuple[int, int, bytes], list[tuple[int, int]]], names: np.ndarray, home: int) -> pa.RecordBatch:
+        out: dict[int, list] = {}
+        done = []
+        for (b, a, stretch), places in found.items():
+            if len(places) > 1:
+                done += [(n, start, start + len(stretch)) for n, start in places]
+                out.setdefault(b, []).append((a, stretch, None))
+            else:
+                n, start = places[0]
+                out.setdefault(b, []).append((a, stretch, names[n].tobytes() + start.to_bytes(8, "little")))
+        ready = b""
+        if done:
+            done = np.array(done, dtype=np.int64)
+            ready = merged(np.column_stack((names[done[:, 0]].view(np.int64), done[:, 1:]))).tobytes()
+            out.setdefault(home, [])
+        return _packed_rows([(b, pickle.dumps((own, ready if b == home else b""), protocol=5)) for b, own in out.items()])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _AT_ONCE):
-                part = batch.slice(start, _AT_ONCE)
-                found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-                for row, text, wanted in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), part.column("wanted"), strict=True):
-                    data = _bytes(text)
-                    raw = data.tobytes()
-                    h, first, last = anchors(data, length, gram)
-                    mine = np.isin(_short(h), wanted.values.to_numpy())
-                    for b, a, s, e in zip((h[mine] % U(buckets)).tolist(), h[mine].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
-                        found.setdefault((b, a, raw[s : e + length]), []).append((row, s))
-                out: dict[int, list] = {}
-                for (b, a, stretch), places in found.items():
-                    out.setdefault(b, []).append((a, stretch, np.array(places, dtype=np.int64).tobytes()))
-                names = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([pickle.dumps(out[b], protocol=5) for b in names], pa.binary())], names=["bucket", "packed"])
+        found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+        names, size, home = [], 0, TaskContext.get().partitionId()
+        for part in parts_of(batches):
+            columns = [part.column(c).to_pylist() for c in ("_row", "_text", "again")]
+            for row, text, again, *lists in zip(*columns, part.column("wanted"), part.column("hot"), strict=True):
+                wanted, hot = (x.values.to_numpy().astype(np.uint64) for x in lists)
+                data = _bytes(text)
+                raw = data.tobytes()
+                h, first, last = anchors(data, length, gram)
+                mine = np.isin(_short(h), wanted)
+                keys, a, z = h[mine], first[mine], last[mine]
+                if len(hot):
+                    close = np.isin(_short(keys), hot)
+                    start, owner = _spread(a[close], z[close]), np.repeat(keys[close], (z - a + 1)[close])
+                    keys, a, z = keys[~close], a[~close], z[~close]
+                    spans, step = np.frombuffer(again or b"", dtype=np.int64).reshape(-1, 2), np.zeros(len(data) + 1, dtype=np.int64)
+                    np.add.at(step, spans[:, 0], 1)
+                    np.add.at(step, spans[:, 1], -1)
+                    on = np.cumsum(step)[start] > 0
+                    start, owner = start[on], owner[on]
+                    if len(start):
+                        begin = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1]))))
+                        keys, a, z = np.concatenate((keys, owner[begin])), np.concatenate((a, start[begin])), np.concatenate((z, start[np.append(begin[1:], len(start)) - 1]))
+                for b, key, s, e in zip(((_short(keys) >> U(16)) % U(buckets)).tolist(), keys.tolist(), a.tolist(), z.tolist(), strict=True):
+                    found.setdefault((b, key, raw[s : e + length]), []).append((len(names), s))
+                    size += 1
+                names.append(row)
+            if size >= 10_000:
+                yield packed(found, _names(names), home % buckets)
+                found, names, size, home = {}, [], 0, home + 7919
+        if names:
+            yield packed(found, _names(names), home % buckets)
+        del found
+        release()
 
     return cut
 
@@ -321,27 +466,30 @@ def repeated(stretches: list[tuple[int, bytes]], places: list[int], length: int,
 
 def _shards(length: int, shard_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[bytes]] = {}
+        held: dict[tuple[int, bytes], list] = {}  # number of places (those of a stretch that is covered already count twice), and places
+        done = []
         for batch in batches:
-            for packed in batch.column(1).to_pylist():
-                for anchor, stretch, places in pickle.loads(packed):
-                    held.setdefault((anchor, stretch), []).append(places)
-        if not held:
-            return
+            for packed in batch.column(1):
+                own, ready = pickle.loads(packed.as_buffer())
+                if ready:
+                    done.append(np.frombuffer(ready, dtype=np.int64).reshape(-1, 4))
+                for anchor, stretch, place in own:
+                    entry = held.setdefault((anchor, stretch), [0, []])
+                    entry[0] += 1 if place else 2
+                    if place:
+                        entry[1].append(place)
         stretches = sorted(held)
-        places = [np.frombuffer(b"".join(held[s]), dtype=np.int64).reshape(-1, 2) for s in stretches]
+        places = [held[s] for s in stretches]
         held.clear()
-        found = []
-        for n, a, b in repeated(stretches, [len(p) for p in places], length, shard_bytes):
-            found.append(np.column_stack((places[n][:, 0], places[n][:, 1] + a, places[n][:, 1] + b)))
-        if not found:
+        where = [np.frombuffer(b"".join(p[1]), dtype=np.int64).reshape(-1, 3) for p in places]
+        for n, a, b in repeated(stretches, [p[0] for p in places], length, shard_bytes) if stretches else ():
+            if len(where[n]):
+                done.append(np.column_stack((where[n][:, :2], where[n][:, 2] + a, where[n][:, 2] + b)))
+        if not done:
             return
-        found = merged(np.concatenate(found))
-        home = (found[:, 0].astype(np.uint64) >> U(20)) % U(buckets)
-        order = np.argsort(home, kind="stable")
-        cut = np.searchsorted(home[order], np.arange(buckets + 1))
-        names = np.flatnonzero(np.diff(cut)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([found[order[cut[b] : cut[b + 1]]].tobytes() for b in names], pa.binary())], names=["bucket", "packed"])
+        yield _by_row(merged(np.concatenate(done)), buckets)
+        del stretches, places, where, done
+        release()
 
     return run
 
@@ -353,24 +501,24 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(bucket, []).append(packed)
     for bucket in list(held):
-        found = merged(np.frombuffer(b"".join(held.pop(bucket)), dtype=np.int64).reshape(-1, 3))
-        first = np.flatnonzero(np.concatenate(([True], found[1:, 0] != found[:-1, 0])))
+        found = merged(np.frombuffer(b"".join(held.pop(bucket)), dtype=np.int64).reshape(-1, 4))
+        first = np.flatnonzero(np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1))))
         cut = np.append(first, len(found)).tolist()
-        spans = np.ascontiguousarray(found[:, 1:])
+        names, spans = np.ascontiguousarray(found[:, :2]), np.ascontiguousarray(found[:, 2:])
         for n in range(0, len(first), 20_000):
             part = range(n, min(n + 20_000, len(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(found[first[n : n + 20_000], 0], pa.int64()), pa.array([spans[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], names=["row", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[cut[i]].tobytes() for i in part], pa.binary()), pa.array([spans[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], names=["row", "spans"])
 
 
 def merged(found: np.ndarray) -> np.ndarray:
-    """(row, from, to) as maximal ranges, by row and place; ranges that touch are one."""
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    row = np.concatenate(([True], found[1:, 0] != found[:-1, 0]))
+    """(row in two numbers, from, to) as maximal ranges, by row and place; ranges that touch are one."""
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    row = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1)))
     # ranges are raised by a step a row, so that one running maximum serves all rows
-    step = (np.cumsum(row) - 1) * (int(found[:, 2].max()) + 2)
-    reach = np.maximum.accumulate(found[:, 2] + step)
-    first = np.flatnonzero(np.concatenate(([True], (found[1:, 1] + step[1:]) > reach[:-1])))
-    return np.column_stack((found[first, 0], found[first, 1], (reach - step)[np.append(first[1:], len(found)) - 1]))
+    step = (np.cumsum(row) - 1) * (int(found[:, 3].max()) + 2)
+    reach = np.maximum.accumulate(found[:, 3] + step)
+    first = np.flatnonzero(np.concatenate(([True], (found[1:, 2] + step[1:]) > reach[:-1])))
+    return np.column_stack((found[first, :3], (reach - step)[np.append(first[1:], len(found)) - 1]))
 
 
 def keep(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -386,23 +534,38 @@ def keep(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), len(ranges)
 
 
-def _covered(docs: DataFrame, text: str, key: str, others: list[str], length: int, gram: int, shard_bytes: int) -> DataFrame:
+def _covered(docs: DataFrame, text: str, key: str, others: list, length: int, gram: int, shard_bytes: int, hot: int, tables: Tables) -> DataFrame:
     """(row, text, others, spans) of each row of docs."""
-    buckets = parts(docs.sparkSession)
-    known = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
-    rows = docs.select(known.alias("_row"), F.col(text).cast("string").alias("_text"), *others)
-    slim = rows.select("_row", "_text")
-    sent = slim.where(F.octet_length("_text") >= length).mapInArrow(_send_anchors(length, gram, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    wanted = sent.mapInArrow(_again, "row long, anchor long").groupBy("row").agg(F.collect_list("anchor").alias("wanted"))
+    buckets = parts(docs.sparkSession, text_bytes(docs, text))
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, text)]
+    rows = docs.select(F.unhex(F.md5(F.concat(said[0], F.lit(" "), said[1]).cast("binary"))).alias("_row"), F.col(text).cast("string").alias("_text"), *others)
+    long = rows.select("_row", "_text").where(F.octet_length("_text") >= length)
+    packed = "bucket int, packed binary"
+    no_places = np.zeros(0, dtype=np.int64)
+    sent = long.mapInArrow(_send(lambda t: (anchors(_bytes(t), length, gram)[0], no_places), buckets, False), packed).repartitionById(buckets, "bucket")
+    found = tables.written(sent.mapInArrow(_again(hot, buckets, False), "row binary, key long"), "anchors")
+    often = found.where(F.col("row").isNull()).select("key").distinct()
+    n_hot = often.count()
+    often = (F.broadcast(often) if n_hot <= 1_000_000 else often).withColumn("is_hot", F.lit(True))
+    marked = found.where(F.col("row").isNotNull()).join(often, "key", "left")
+    wanted = tables.written(marked.groupBy("row").agg(F.collect_set("key").alias("wanted"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot")), "wanted")
     # all columns go along, so that this join's exchange of the texts is the one that the last join reads
     with_anchors = rows.join(wanted.hint("shuffle_hash"), F.col("_row") == F.col("row")).drop("row")
-    stretches = with_anchors.mapInArrow(_send_stretches(length, gram, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    found = stretches.mapInArrow(_shards(length, shard_bytes, buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    spans = found.mapInArrow(_gather, "row long, spans binary").withColumnRenamed("spans", "_spans")
+    if n_hot:
+        close = long.join(wanted.where(F.size("hot") > 0).hint("shuffle_hash"), F.col("_row") == F.col("row")).select("_row", "_text", "hot")
+        sent = close.mapInArrow(_send(lambda t, h: _hot_strings(_bytes(t), np.array(h, dtype=np.int64).astype(np.uint64), length, gram), buckets, True), packed).repartitionById(buckets, "bucket")
+        places = sent.mapInArrow(_again(hot, buckets, True), packed).repartitionById(buckets, "bucket")
+        again = tables.written(places.mapInArrow(_gather, "row binary, spans binary"), "strings").withColumnRenamed("spans", "again")
+        with_anchors = with_anchors.join(again.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").drop("row")
+    else:
+        with_anchors = with_anchors.withColumn("again", F.lit(None).cast("binary"))
+    stretches = with_anchors.select("_row", "_text", "wanted", "hot", "again").mapInArrow(_send_stretches(length, gram, buckets), packed).repartitionById(buckets, "bucket")
+    covered = stretches.mapInArrow(_shards(length, shard_bytes, buckets), packed).repartitionById(buckets, "bucket")
+    spans = written(covered.mapInArrow(_gather, "row binary, spans binary"), "spans").withColumnRenamed("spans", "_spans")
     return rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").drop("row")
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20, hot: int = 2048) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,12 +577,13 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = _covered(docs, text, key, [F.col(key).alias("_key")], length, gram, shard_bytes).select("_key", "_text", "_spans")
+    with Tables() as tables:
+        rows = _covered(docs, text, key, [F.col(key).alias("_key")], length, gram, shard_bytes, hot, tables).select("_key", "_text", "_spans")
     out = rows.mapInArrow(finish, f"k {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("k", key)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 64, shard_bytes: int = 1 << 20, hot: int = 2048) -> DataFrame:
     """docs with covered bytes cut out of their texts (a character that is cut in part goes whole); all columns stay."""
     names = docs.columns
     others = [F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != text]
@@ -430,7 +594,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(f"_c{n}") for n, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = _covered(docs, text, key, others, length, gram, shard_bytes)
+    with Tables() as tables:
+        rows = _covered(docs, text, key, others, length, gram, shard_bytes, hot, tables)
     return rows.drop("_row").mapInArrow(finish, docs.schema)
 
 
