@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, parts_of, table
+from tidemark.llm.common import crc_of_id, parts_of, release, table
 
 #: Insults to start from. Fixed values.
 SEED = frozenset("idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb".split())
@@ -275,7 +275,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = rows.where(place < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
     found = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.length("t") <= fit_chars).join(F.broadcast(picked), "k").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["t"]))
-    return fit([r["t"] for r in found], [r["y"] for r in found], [1 / rate[r["y"]] for r in found])
+    model = fit([r["t"] for r in found], [r["y"] for r in found], [1 / rate[r["y"]] for r in found])
+    del found
+    release()
+    return model
 
 
 def toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
