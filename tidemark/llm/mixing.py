@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
+from tidemark.llm.common import WORD, table, written
 
 BUCKETS = 4096
 
@@ -97,15 +97,19 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     shards = in_shards.groupBy("source", "source_no", "source_quota", "shard").agg(F.sum("bucket_size").alias("shard_size"))
     shards = _apportion(shards, ["source_no"], "shard_size", "source_quota", ["shard"], "shard_quota")
     shards = shards.withColumn("n_parts", F.greatest(F.lit(1), F.floor(F.col("shard_size") / (8 * shard_words))).cast("long"))
+    # one row a bucket of a source: all that documents need
     plan = in_shards.select("source", "bucket", "shard", "source_no", "source_size", "target").join(shards.select("source_no", "shard", "shard_size", "shard_quota", "n_parts"), ["source_no", "shard"])
-    plan = plan.withColumnsRenamed({"source": "s", "bucket": "b"})
+    plan = written(plan.withColumnsRenamed({"source": "s", "bucket": "b"}), "mixing-plan")
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    part = F.floor(F.conv(F.substring("place", 4, 8), 16, 10).cast("long") * F.col("n_parts") / F.lit(1 << 32)).cast("long")
-    placed = placed.withColumn("part", F.when(F.col("n_parts") > 1, part).otherwise(0))
-    few = shards.where(F.col("n_parts") == 1)
-    sizes = placed.where(F.col("n_parts") > 1).groupBy("source_no", "shard", "shard_quota", "part").agg(F.sum("size").alias("part_size"))
-    sizes = _apportion(sizes, ["source_no", "shard"], "part_size", "shard_quota", ["part"], "quota").select("source_no", "shard", "part", "part_size", "quota")
-    parts = few.select("source_no", "shard", F.lit(0).cast("long").alias("part"), F.col("shard_size").alias("part_size"), F.col("shard_quota").alias("quota")).unionByName(sizes)
+    parts = plan.select("source_no", "shard", F.lit(0).cast("long").alias("part"), F.col("shard_size").alias("part_size"), F.col("shard_quota").alias("quota"), "n_parts").distinct()
+    if parts.where("n_parts > 1").take(1):
+        part = F.floor(F.conv(F.substring("place", 4, 8), 16, 10).cast("long") * F.col("n_parts") / F.lit(1 << 32)).cast("long")
+        placed = placed.withColumn("part", F.when(F.col("n_parts") > 1, part).otherwise(0))
+        sizes = placed.where(F.col("n_parts") > 1).groupBy("source_no", "shard", "shard_quota", "part").agg(F.sum("size").alias("part_size"))
+        sizes = _apportion(sizes, ["source_no", "shard"], "part_size", "shard_quota", ["part"], "quota").select("source_no", "shard", "part", "part_size", "quota")
+        parts = parts.where("n_parts = 1").drop("n_parts").unionByName(sizes)
+    else:
+        placed = placed.withColumn("part", F.lit(0).cast("long"))
     parts = parts.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("part_size") / block_words)).cast("long"))
     name = F.concat(F.lit(f"{seed}:"), F.col("source_no").cast("string"), F.lit(":"), F.col("shard").cast("string"), F.when(F.col("part") > 0, F.concat(F.lit(":"), F.col("part").cast("string"))).otherwise(""))
     parts = parts.withColumn("quota", F.least("quota", F.lit(repeat) * F.col("blocks"))).withColumn("offset", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("blocks"))
