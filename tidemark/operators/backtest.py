@@ -98,20 +98,24 @@ def trade_returns(run: DataFrame) -> DataFrame:
 def metrics(run: DataFrame, risk_free: float = 0.0, days: int = YEAR) -> DataFrame:
     """The 18 figures of each strategy and symbol. A figure that a zero divisor leaves open is 0; a profit factor without losses is infinite."""
     run = drawdowns(run.where(F.col("ret").isNotNull()))
-    longest = run.where(F.col("drawdown") < 0).groupBy(*KEY, "run_id").count().groupBy(*KEY).agg(F.max("count").alias("max_drawdown_duration"))
-    started = F.when(F.col("held") > F.coalesce(F.lag("held").over(by_key()), F.lit(0.0)), 1)
-    base = run.withColumn("started", started).groupBy(*KEY).agg(
+    # windows within a key need no exchange beyond the one that brings the key together, so all figures come from one aggregation
+    before = F.coalesce(F.lag("held").over(by_key()), F.lit(0.0))
+    active = F.col("held") != 0
+    rows = run.withColumn("started", F.when(F.col("held") > before, 1)).withColumn("trade", F.sum(F.when(active, 0).otherwise(1)).over(key_so_far()))
+    rows = rows.withColumn("p5", F.percentile("ret", F.lit(0.05)).over(Window.partitionBy(*KEY)))
+    rows = rows.withColumn("stretch", F.count(F.when(F.col("drawdown") < 0, 1)).over(Window.partitionBy(*KEY, "run_id")))
+    of_trade = Window.partitionBy(*KEY, "trade", active)
+    ends = active & (F.row_number().over(of_trade.orderBy(F.col("ts").desc())) == 1)
+    rows = rows.withColumn("gain", F.product(1 + F.col("ret")).over(of_trade) - 1).withColumn("gain", F.when(ends, F.col("gain")))
+    won = F.col("gain") > 0
+    out = rows.groupBy(*KEY).agg(
         F.count("ret").alias("trading_days"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"),
-        F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.percentile("ret", F.lit(0.05)).alias("p5"),
-        F.skewness("ret").alias("skewness"), F.kurtosis("ret").alias("kurtosis"), F.count("started").alias("num_trades"),
-    )
-    tail = run.join(base.select(*KEY, "p5"), KEY).where(F.col("ret") <= -F.abs("p5")).groupBy(*KEY).agg(F.abs(F.avg("ret")).alias("tail"))
-    won = F.col("ret") > 0
-    trades = trade_returns(run).groupBy(*KEY).agg(
-        F.avg(won.cast("double")).alias("win_rate"), F.sum(F.when(won, F.col("ret"))).alias("gained"), F.abs(F.sum(F.when(~won, F.col("ret")))).alias("lost"),
-        F.avg(F.when(won, F.col("ret"))).alias("avg_win"), F.avg(F.when(F.col("ret") < 0, F.col("ret"))).alias("avg_loss"),
+        F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.first("p5").alias("p5"),
+        F.skewness("ret").alias("skewness"), F.kurtosis("ret").alias("kurtosis"), F.count("started").alias("num_trades"), F.max("stretch").alias("max_drawdown_duration"),
+        F.abs(F.avg(F.when(F.col("ret") <= -F.abs("p5"), F.col("ret")))).alias("tail"),
+        F.avg(won.cast("double")).alias("win_rate"), F.sum(F.when(won, F.col("gain"))).alias("gained"), F.abs(F.sum(F.when(~won, F.col("gain")))).alias("lost"),
+        F.avg(F.when(won, F.col("gain"))).alias("avg_win"), F.avg(F.when(F.col("gain") < 0, F.col("gain"))).alias("avg_loss"),
     )
-    out = base.join(longest, KEY, "left").join(tail, KEY, "left").join(trades, KEY, "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     out = out.withColumn("years", F.col("trading_days") / days).withColumn("annualized_return", F.pow(1 + F.col("total_return"), 1 / F.col("years")) - 1)
     root = F.sqrt(F.lit(float(days)))

@@ -297,8 +297,8 @@ def transformed(bars: DataFrame, kind: str, seed: int = 42) -> DataFrame:
 
 
 def stress(bars: DataFrame, strategies: list[Strategy], scenarios: list[Scenario]) -> DataFrame:
-    """One row per scenario, strategy and symbol: sharpe_ratio, max_drawdown, passed. All scenarios are one job."""
-    rows = None
+    """One row per scenario, strategy and symbol: sharpe_ratio, max_drawdown, passed. All scenarios are one job, on bars that are worked out once."""
+    rows, bars = None, stored(bars, "stress-bars")
     for s in scenarios:
         part = s.of(bars).withColumn("symbol", F.concat(F.col("symbol"), F.lit(f"|{s.name}")))
         rows = part if rows is None else rows.unionByName(part)
