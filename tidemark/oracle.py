@@ -338,6 +338,6 @@ def statements() -> dict[str, str]:
         SELECT series_id, CAST(observation_date AS VARCHAR) AS observation_date, CAST(observation_date + CAST(30 * (k + 1) AS INTEGER) AS VARCHAR) AS release_date, {r("value * [0.98, 0.99, 1.0][k + 1]", "value")}, CAST(k AS INTEGER) AS revision_number FROM v, range(3) t(k)"""
     out["leaderboard"] = f"SELECT 'sma_crossover|' || symbol AS run_id, volatility, CAST(num_trades AS DOUBLE) AS num_trades FROM ({out['metrics']}) WHERE num_trades >= 10 ORDER BY volatility DESC, 1 LIMIT 3"
     out["population_stats"] = f"""SELECT count(*) AS size, count(DISTINCT p_partkey) AS unique, count(*) FILTER (p_partkey % 4 = 0) AS front, {", ".join(r(f"{f}({x})", f"{f}_{n}") for x, n in (("p_size", "size"), ("p_retailprice", "p_retailprice")) for f in ("min", "max", "avg"))} FROM part"""
-    out["bad_revisions"] = f"WITH {PIT} SELECT entity_id, indicator_name, CAST(observation_date AS VARCHAR) AS observation_date, {_D.format('release_date')}, {r('value', 'value')}, revision_number, source, {_D.format('valid_to')} FROM pit QUALIFY pit.release_date < lag(pit.release_date) OVER (PARTITION BY entity_id, observation_date ORDER BY revision_number)"
+    out["bad_revisions"] = f"WITH {PIT}, off AS (SELECT * REPLACE (CASE WHEN revision_number = 2 AND dayofweek(observation_date) = 1 THEN release_date - INTERVAL 80 DAY ELSE release_date END AS release_date) FROM pit) SELECT entity_id, indicator_name, CAST(observation_date AS VARCHAR) AS observation_date, {_D.format('release_date')}, {r('value', 'value')}, revision_number, source, {_D.format('valid_to')} FROM off QUALIFY off.release_date < lag(off.release_date) OVER (PARTITION BY entity_id, observation_date ORDER BY revision_number)"
     del vol
     return {k: v for k, v in out.items() if not k.startswith("_")}

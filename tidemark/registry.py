@@ -166,6 +166,12 @@ def _lookahead(b: DataFrame) -> DataFrame:
     return quality.lookahead(b, lambda d: d.withColumn("x", F.lead("close", 1).over(by_symbol())), "x", (10, 15, 20))
 
 
+def _disordered(r: DataFrame) -> DataFrame:
+    """Revisions of which the last one of each Monday's observation comes 80 days too early."""
+    late = (F.col("revision_number") == 2) & (F.dayofweek("observation_date") == 2)
+    return r.withColumn("release_date", F.when(late, F.col("release_date") - F.expr("interval 80 days")).otherwise(F.col("release_date")))
+
+
 def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"))
     parts = execution.impact_parts(F.col("q"), F.col("q") * 500.0, F.lit(0.01))
@@ -230,7 +236,7 @@ def queries() -> dict:
         "pit_as_of": _on_bars(lambda b: pit.as_of(b, MOMENT, dt.timedelta(days=1), 30)), "pit_latest": _on_bars(lambda b: pit.latest(b, MOMENT)), "pit_features": _on_bars(lambda b: pit.feature_matrix(b, MOMENT, ["sma_20", "returns_1d", "volume_ratio"])), "vintages": _vintages, "leaderboard": _on_bars(_leaders), "population_stats": _population,
         "pit_returns": _on_bars(lambda b: pit.known_returns(b, MOMENT, 20)),
         "pit_value": _on_revisions(lambda r: pit.pit_value(r, MOMENT)), "pit_join": _pit_join, "latest_revision": _on_revisions(pit.latest_revision),
-        "revision_history": _on_revisions(lambda r: pit.revision_history(r, "1-URGENT", "1998-03-02").drop("transaction_time")), "bad_revisions": _on_revisions(lambda r: pit.bad_revisions(r).drop("transaction_time")),
+        "revision_history": _on_revisions(lambda r: pit.revision_history(r, "1-URGENT", "1998-03-02").drop("transaction_time")), "bad_revisions": _on_revisions(lambda r: pit.bad_revisions(_disordered(r)).drop("transaction_time")),
         "rolling_windows": _on_bars(lambda b: pit.rolling_windows(b, 250, 200).groupBy("symbol", "window_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.avg("close").alias("mean_close"))),
         "expanding_windows": _on_bars(lambda b: pit.expanding_sizes(b, 252).select("symbol", "ts", "prefix_rows")),
         "time_split": _on_bars(lambda b: backtest.halves(b).groupBy("symbol", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"))),
