@@ -136,3 +136,17 @@ def synced(store: DataFrame, rows: DataFrame, entity: str = "US_MACRO", source:
         F.col("release_date").cast("timestamp").alias("transaction_time"), "value", "revision_number", F.lit(source).alias("source"), F.lit(None).cast("timestamp").alias("valid_to"),
     )
     return insert(store, new)
+
+
+def latest_vintages(rows: DataFrame, day: str, most: int = 36) -> DataFrame:
+    """What a daily run takes up: of vintages (series_id, observation_date, release_date, ...) that are out on a day, each series' last `most` observations."""
+    out = rows.where(F.col("release_date") <= F.lit(day).cast("date"))
+    newest = F.dense_rank().over(Window.partitionBy("series_id").orderBy(F.col("observation_date").desc()))
+    return out.withColumn("_n", newest).where(F.col("_n") <= most).drop("_n")
+
+
+def daily_sync(store: DataFrame, rows: DataFrame, day: str, most: int = 36, entity: str = "US_MACRO") -> DataFrame:
+    """store with the revisions of latest_vintages() that it does not hold yet."""
+    key = ["indicator_name", "observation_date", "revision_number"]
+    held = store.where(F.col("entity_id") == entity).select(F.col("indicator_name").alias("series_id"), *key[1:])
+    return synced(store, latest_vintages(rows, day, most).join(held, ["series_id", *key[1:]], "left_anti"), entity)

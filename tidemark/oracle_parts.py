@@ -39,6 +39,13 @@ def statements() -> dict[str, str]:
             SELECT 'filtered' AS strategy_id, symbol, {TIME}, coalesce(close <= s20, false) AND volume <> 0 AND volume > 100 AND coalesce(r20 > -0.5, false) AS entry_signal, close = high OR coalesce(lag(m) OVER {w} >= 0 AND m < 0, false) AS exit_signal FROM b""",
         "stored_bars": f"WITH {BARS} SELECT symbol, {TIME}, {', '.join(r(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))} FROM n WHERE symbol IN ('AF', 'NO') AND ts >= TIMESTAMP '1998-01-01' AND ts < TIMESTAMP '1999-01-01'",
         "stored_features": f"WITH {BARS}, f AS (SELECT symbol, ts, {full('avg', 'close', 20)} AS x FROM n) SELECT symbol, {TIME}, {r('x', 'sma_20')} FROM f WHERE symbol = 'RF'",
+        "described_bars": f"""WITH {BARS} SELECT symbol, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", '2024-01-01' AS fetched,
+            CAST(max(ts) AS DATE) >= DATE '2001-10-30' AND (DATE '2001-11-10' - DATE '2001-10-30' > 30 OR DATE '2001-11-10' - DATE '2024-01-01' <= 1) AS fresh FROM n WHERE symbol <> 'AF' GROUP BY symbol""",
+        "daily_sync": f"""WITH d AS (SELECT 'GDP' AS s, CAST(x AS DATE) AS o FROM generate_series(TIMESTAMP '2015-01-01', TIMESTAMP '2020-12-31', INTERVAL 3 MONTH) t(x) WHERE CAST(x AS DATE) + 30 <= DATE '2020-12-31'
+                UNION ALL SELECT 'CPI', CAST(x AS DATE) FROM generate_series(TIMESTAMP '2015-01-01', TIMESTAMP '2020-12-31', INTERVAL 1 MONTH) t(x) WHERE CAST(x AS DATE) + 15 <= DATE '2020-12-31'),
+            v AS (SELECT s, o, k, o + CAST(30 * (k + 1) AS INTEGER) AS rel, 100 * CAST(CAST('0x' || substr(md5(s || '_' || CAST(o AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE * [0.98, 0.99, 1.0][k + 1] AS value FROM d, range(3) t(k)),
+            days AS (SELECT * FROM (VALUES (DATE '2020-06-15'), (DATE '2020-08-15')) t(day)), seen AS (SELECT v.*, dense_rank() OVER (PARTITION BY day, s ORDER BY o DESC) AS n FROM v JOIN days ON rel <= day)
+            SELECT DISTINCT s AS indicator_name, CAST(o AS VARCHAR) AS observation_date, strftime(CAST(rel AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS release_date, {r("value", "value")}, CAST(k AS INTEGER) AS revision_number FROM seen WHERE n <= 12""",
         "ohlc_rows": f"WITH {BARS}, {FAULTY} SELECT symbol, {TIME}, {r('high', 'high')}, {r('low', 'low')} FROM faulty WHERE {BAD}",
         "first_of_each": "SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey",
         "simple_signal": f"""WITH {BARS}, b AS (SELECT symbol, ts, {full("avg", "close", 20)} AS f, {full("avg", "close", 50)} AS s FROM n) SELECT symbol, {TIME}, CASE WHEN f > s * 1.01::DOUBLE THEN 1 WHEN f < s * 0.99::DOUBLE THEN -1 ELSE 0 END AS signal FROM b""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import by_symbol, change
 from tidemark.functions.indicators import sma
-from tidemark.operators import analysis, backtest, quality, search, validation
+from tidemark.operators import analysis, backtest, pit, quality, search, validation
 from tidemark.plans import dsl, strategy
 from tidemark.sources import bars, store
 
@@ -56,6 +56,23 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_bars(spark, path, ["AF", "NO"], "1998-01-01", "1998-12-31")
 
 
+def described_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table after one symbol has been cleared, with whether each still serves."""
+    path = _path(spark, "bars")
+    store.write_bars(bars.bars_lineitem(spark, sf_dir), path)
+    assert store.clear_bars(spark, path, "AF") and not store.clear_bars(spark, path, "none")
+    about = store.describe_bars(spark, path, "2024-01-01")
+    return about.join(store.fresh_symbols(about, "2001-10-30", "2001-11-10"), "symbol")
+
+
+def daily_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two daily runs over mock vintages: the second adds what has come out since."""
+    rows = pit.vintages_of(pit.mock_vintages(spark, {"GDP": "Q", "CPI": "M"}, "2015-01-01", "2020-12-31", "2020-12-31"))
+    empty = bars.pit_orders(spark, sf_dir).where("false")
+    twice = pit.daily_sync(pit.daily_sync(empty, rows, "2020-06-15", 12), rows, "2020-08-15", 12)
+    return twice.select("indicator_name", "observation_date", "release_date", "value", "revision_number")
+
+
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "features")
     store.write_features(bars.bars_lineitem(spark, sf_dir).select("symbol", "ts", sma(20).alias("sma_20")), path)
@@ -158,7 +175,7 @@ def funnel_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(on_bars, on_run, rounded) -> dict:
     return {
-        "rule_filters": on_bars(filtered_rules), "quality_faults": on_bars(lambda b: quality.issues(faulty(b))), "stored_bars": lambda s, d: rounded(stored_bars(s, d)), "stored_features": lambda s, d: rounded(stored_features(s, d)),
+        "rule_filters": on_bars(filtered_rules), "quality_faults": on_bars(lambda b: quality.issues(faulty(b))), "stored_bars": lambda s, d: rounded(stored_bars(s, d)), "stored_features": lambda s, d: rounded(stored_features(s, d)), "described_bars": lambda s, d: rounded(described_bars(s, d)), "daily_sync": lambda s, d: rounded(daily_revisions(s, d)),
         "run_log": run_log, "run_counters": lambda s, d: rounded(store.counters(_log(s))), "compared_runs": on_run(compared_runs), "cpcv_exact": on_bars(exact_folds), "chart": on_run(charted),
         "formula_facts": lambda s, d: rounded(formula_facts(s, d)), "template_facts": lambda s, d: rounded(template_facts(s, d)), "pareto_ranks": ranked_nations, "crowding_distances": lambda s, d: rounded(crowded(s, d)),
         "reference_points": lambda s, d: rounded(reference_grid(s, d)), "ratio_figures": lambda s, d: rounded(ratio_figures(s, d)), "canary_answers": canary_answers, "causal_features": on_bars(causal_features),

@@ -8,7 +8,9 @@ import json
 import re
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +63,44 @@ def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
     return rows
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of any store that Spark reads, and its file system."""
+    out = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clear_bars(spark: SparkSession, path: str, symbol: str | None = None) -> bool:
+    """Deletes the bars of a symbol, or of all; whether there were any."""
+    where, files = _path(spark, path if symbol is None else f"{path}/symbol={symbol}")
+    return bool(files.delete(where, True))
+
+
+def describe_bars(spark: SparkSession, path: str, fetched: str) -> DataFrame:
+    """The side table of stored bars, `<path>.about`, written anew: of each symbol its rows, first and last time, and when it was fetched."""
+    about = spark.read.parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end")).withColumn("fetched", F.lit(fetched))
+    about.coalesce(1).write.mode("overwrite").json(f"{path}.about")
+    return spark.read.schema(about.schema).json(f"{path}.about")
+
+
+def fresh_symbols(about: DataFrame, wanted_end: str, today: str, expiry_days: int = 1) -> DataFrame:
+    """symbol and fresh: is_fresh() for each symbol of a side table."""
+    old, lately = F.datediff(F.lit(today), F.lit(wanted_end)) > 30, F.datediff(F.lit(today), F.col("fetched")) <= expiry_days
+    return about.select("symbol", ((F.to_date("end") >= F.lit(wanted_end).cast("date")) & (old | lately)).alias("fresh"))
+
+
+class Pace:
+    """At most so many calls a minute: wait() sleeps until the next one may start."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep, self.next = 60 / per_minute, clock, sleep, 0.0
+
+    def wait(self) -> None:
+        now = self.clock()
+        if now < self.next:
+            self.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+
+
 def cache_key(symbol: str, start: str, end: str) -> str:
     return hashlib.md5(f"{symbol}_{start}_{end}".encode()).hexdigest()[:12]
 
