@@ -277,6 +277,53 @@ def test_stores(spark, tmp_path):
     assert store.get(log, "validation", "a").first()["status"] == "done" and store.counters(log).first()["passed"] == 1
 
 
+def test_service(spark, sf_dir, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tidemark.service import Service
+
+    service = Service(spark, sources.bars_lineitem(spark, sf_dir), f"{tmp_path}/log")
+    server = service.server()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data)) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            return e.code, None
+
+    try:
+        assert call("/")[1]["status"] == "running" and len(call("/api/templates")[1]) == 8 and call("/api/strategies") == (200, [])
+        assert call("/api/validate/none")[0] == call("/nothing")[0] == 404 and call("/api/validate", {"template_name": "x"})[0] == 400
+        started = [call("/api/validate", {"symbol": "NO", "template_name": "buy_and_hold", "run_cpcv": False}), call("/api/factory", {"symbol": "NO", "population_size": 3, "generations": 0}), call("/api/discovery", {"symbol": "NO", "population_size": 3, "n_generations": 0}), call("/api/validate", {"symbol": "none"})]
+        assert all(s == 200 and r["status"] == "pending" for s, r in started)
+        for job in service.jobs:
+            job.join()
+        first, made, found, bad = (r for _, r in started)
+        done = call(f"/api/validate/{first['validation_id']}")[1]
+        assert done["status"] == "done" and done["metrics"][0]["trading_days"] > 0
+        assert len(call(f"/api/factory/{made['factory_id']}")[1]["strategies"]) == 3 and call(f"/api/discovery/{found['discovery_id']}")[1]["history"]
+        assert [s["name"] for s in call("/api/strategies")[1] if s["id"] == first["validation_id"]] == ["buy_and_hold"]
+        assert call("/api/pipeline-stats")[1]["generated"] == 1 and call("/api/metrics/latest")[1]["validations"] >= 1 and call("/api/system/status")[1]["running"] == 0
+    finally:
+        server.shutdown()
+
+
+def test_pace():
+    now, slept = [0.0], []
+    pace = store.Pace(30, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(3):
+        pace.wait()
+    now[0] += 10
+    pace.wait()
+    assert slept == [2.0, 2.0]
+
+
 def test_monitor_batch_equals_stream(spark, tmp_path):
     rng = np.random.default_rng(5)
     rets = np.concatenate([rng.normal(0.002, 0.01, 100), rng.normal(-0.01, 0.01, 100)])
