@@ -172,6 +172,12 @@ def test_toxicity_query_equals_slow_scoring(spark, sf_dir):
         assert r["score"] == pytest.approx(min(1, max(0, want)), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
 
 
+def test_sample_features_are_the_texts_features(spark, sf_dir):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ["you ID10T!! m.o.r.o.n i d i o t", "", "Zorkel zorkel?"]
+    tokens = toxicity.Tokens(frozenset(["zorkel", "quux~"]), frozenset(["the"]))
+    assert toxicity.Sample(texts).features(tokens).tolist() == [[float(v) for v in toxicity.features(t, tokens)] for t in texts]
+
+
 def test_isotonic_is_the_best_rising_fit():
     rng = np.random.default_rng(21)
     for _ in range(30):

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,8 +99,13 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
     if not text:
         return [0.0] * len(NAMES)
     words = text.split()
-    n = max(1, len(words))
-    flags = np.fromiter(map(tokens.__getitem__, words), dtype=np.int64, count=len(words))
+    return _measured(np.fromiter(map(tokens.__getitem__, words), dtype=np.int64, count=len(words)), text, tokens)
+
+
+def _measured(flags: np.ndarray, text: str, tokens: Tokens) -> list[float]:
+    """Features of a text whose words have these flags."""
+    n = max(1, len(flags))
+    words = text.split() if (flags & (HIT | SEEDED | LETTER)).any() else []
     count = np.bincount(flags, minlength=len(_ALL))
     with_flag = lambda f: int(count[(_ALL & f) != 0].sum())
     hits, seeds, second = with_flag(HIT | SEEDED), with_flag(SEEDED), with_flag(YOU)
@@ -128,27 +134,79 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
 _ALL = np.arange(512)
 
 
-def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[frozenset[str], frozenset[str]]:
-    """Terms that mark toxic texts, being in more of them than chance gives any term and in hardly any clean one; and terms that
-    are three times as frequent in toxic texts, far beyond chance. Near copies count once."""
+class Sample:
+    """Labelled texts with their words as numbers, so that lexicons can be learnt and features made for several parts of them.
+
+    Terms are known by 64-bit hashes; each can be spelt from a token that has it.
+    """
+
+    def __init__(self, texts: list[str]):
+        token_no: dict[str, int] = {}
+        self.texts = texts
+        self.words = [np.array([token_no.setdefault(w, len(token_no)) for w in t.split()], dtype=np.int32) for t in texts]
+        self.tokens = list(token_no)
+        del token_no
+        # tokens of one word, as with other signs or capitals, share its terms: a stretch of one list
+        word_no: dict[str, int] = {}
+        of_token = np.array([word_no.setdefault(word, len(word_no)) if (word := bare(t)) else -1 for t in self.tokens], dtype=np.int32)
+        self.spoken = list(word_no)
+        del word_no
+        marks, many, hashes = np.zeros(len(self.spoken), dtype=np.uint32), np.zeros(len(self.spoken), dtype=np.int32), array("Q")
+        for n, word in enumerate(self.spoken):
+            own = terms(word)
+            marks[n], many[n] = zlib.crc32(word.encode()), len(own)
+            hashes.extend(map(xxhash.xxh3_64_intdigest, own))
+        self.first = np.cumsum(many) - many
+        unique, self.spelt, flat = np.unique(np.frombuffer(hashes, dtype=np.uint64) if hashes else np.zeros(0, dtype=np.uint64), return_index=True, return_inverse=True)
+        self.n_terms, self.spelt, flat = len(unique), self.spelt.astype(np.int32), flat.astype(np.int32)
+        del unique, hashes
+        self.has: list[np.ndarray] = []
+        self.sketch: list[list[int]] = []
+        for tokens in self.words:
+            own = np.unique(of_token[tokens])
+            own = own[own >= 0]
+            size = many[own]
+            self.has.append(np.unique(flat[np.repeat(self.first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())]))
+            self.sketch.append(np.unique(marks[own])[:6].tolist())
+
+    def term(self, number: int) -> str:
+        at = int(self.spelt[number])
+        word = int(np.searchsorted(self.first, at, side="right")) - 1
+        return terms(self.spoken[word])[at - int(self.first[word])]
+
+    def features(self, tokens: Tokens) -> np.ndarray:
+        flags = np.array([tokens[t] for t in self.tokens] or [0], dtype=np.int64)
+        return np.array([_measured(flags[w], t, tokens) if t else [0.0] * len(NAMES) for w, t in zip(self.words, self.texts, strict=True)])
+
+
+def bare(token: str) -> str:
+    """The word of a token, or nothing where it has none of three letters or more."""
+    word = _EDGE.sub("", token).lower()
+    return word if len(word) > 2 and word.isalpha() else ""
+
+
+def learn_lexicon(sample: Sample, rows: list[int], toxic: list[int], most: int = 400) -> tuple[frozenset[str], frozenset[str]]:
+    """From the given rows: terms that mark toxic texts, being in more of them than chance gives any term and in hardly any clean one; and
+    terms that are three times as frequent in toxic texts, far beyond chance. Near copies count once."""
     seen: set[tuple[int, int]] = set()
-    in_toxic, in_clean, n = Counter(), Counter(), [0, 0]
-    for text, y in zip(texts, toxic, strict=True):
-        words = {w for t in text.split() if len(w := _EDGE.sub("", t).lower()) > 2 and w.isalpha()}
-        sketch = sorted(zlib.crc32(w.encode()) for w in words)[:6]
+    counts, n = np.zeros((2, sample.n_terms), dtype=np.int64), [0, 0]
+    for row in rows:
+        y, sketch = toxic[row], sample.sketch[row]
         same = [(y, s) for s in sketch]
         again = len(sketch) > 3 and sum(s in seen for s in same) >= len(sketch) // 2 + 1
         seen.update(same)
         if not again:
             n[y] += 1
-            (in_toxic if y else in_clean).update({t for w in words for t in terms(w)})
+            counts[y, sample.has[row]] += 1
+    clean, k = counts
     chance = max(1, n[1]) / max(2, n[0] + n[1])  # of a term's text being toxic if the term says nothing
-    least = max(4, int(np.ceil((np.log(max(2, len(in_toxic))) + 3) / -np.log(min(0.9, chance)))))
-    found = [(k, t) for t, k in in_toxic.items() if k >= least and in_clean[t] * max(1, n[1]) <= 0.02 * k * max(1, n[0])]
+    least = max(4, int(np.ceil((np.log(max(2, int((k > 0).sum()))) + 3) / -np.log(min(0.9, chance)))))
+    found = np.flatnonzero((k >= least) & (clean * max(1, n[1]) <= 0.02 * k * max(1, n[0])))
     share = n[1] / max(1, n[0] + n[1])
-    far = [(z, t) for t, k in in_toxic.items() if k >= 6 and k * (n[0] + 1) >= 3 * (in_clean[t] + 1) * max(1, n[1]) and (z := (k - share * (k + in_clean[t])) / np.sqrt(share * (1 - share) * (k + in_clean[t]) + 1)) >= 4]
-    first = lambda rows, top: frozenset(t for _, t in sorted(rows, key=lambda f: (-f[0], f[1]))[:top])
-    return first(found, most), first(far, 4 * most)
+    z = (k - share * (k + clean)) / np.sqrt(share * (1 - share) * (k + clean) + 1)
+    far = np.flatnonzero((k >= 6) & (k * (n[0] + 1) >= 3 * (clean + 1) * max(1, n[1])) & (z >= 4))
+    first = lambda at, by, top: frozenset(t for _, t in sorted((-by[i], sample.term(i)) for i in at.tolist())[:top])
+    return first(found, k, most), first(far, z, 4 * most)
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, depth: int, rate: float) -> list[tuple]:
@@ -241,10 +299,11 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], folds: int = 3)
     y, w = np.array(toxic, dtype=float), np.array(weight)
     w = w / w.mean()
 
+    sample = Sample(texts)
+
     def learn(rows: np.ndarray) -> tuple[frozenset, frozenset, np.ndarray, dict]:
-        lexicon, soft = learn_lexicon([texts[i] for i in rows], [toxic[i] for i in rows])
-        tokens = Tokens(lexicon, soft)
-        x = np.array([features(t, tokens) for t in texts])
+        lexicon, soft = learn_lexicon(sample, rows.tolist(), toxic)
+        x = sample.features(Tokens(lexicon, soft))
         return lexicon, soft, x, boost(x[rows], y[rows], w[rows])
 
     everything, out = np.arange(len(texts)), np.zeros(len(texts))
@@ -265,7 +324,7 @@ def score(texts: list[str | None], model: dict, tokens: Tokens) -> np.ndarray:
     return np.clip(np.interp(margins(model["trees"], x), *model["steps"]), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 6000, fit_chars: int = 50_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, fit_chars: int = 50_000) -> dict:
     """labels: key and toxic (0 or 1), of the rows that may be learnt from."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
